@@ -9,7 +9,7 @@ in part of the windows, so that shape alone has to do.
 
 Decoding is Viterbi's, exactly, over all tokens of the whole text. A token whose outside score leads by more than transitions
 could ever make up is outside on the best path, whatever its neighbours are; between such tokens the best path is found by
-dynamic programming. Scores of words are kept per worker, up to a fixed number of words.
+dynamic programming, unless no token there makes up for what transitions cost. Scores of words are kept per worker, up to a fixed number of words.
 
 Defined cases: a null or empty text has no spans; spans of one kind don't overlap, those of different kinds may; added spans
 (kind crf) keep clear of all base spans; repeated rows get equal results; very long runs are one token, whose features count all of it.
@@ -120,12 +120,18 @@ class Field:
             return tags
         e = self.emissions(tokens, text)
         reach = 2 * float(self.trans.max() - self.trans.min())
-        open_ = np.flatnonzero(e[:, 0] - e[:, 1:].max(axis=1) <= reach)
+        lead = e[:, 1:].max(axis=1) - e[:, 0]
+        open_ = np.flatnonzero(lead >= -reach)
         if not len(open_):
             return tags
-        cut = np.flatnonzero(np.diff(open_) > 1) + 1
-        for run in np.split(open_, cut):
-            s, t = int(run[0]), int(run[-1]) + 1
+        head = np.r_[0, np.flatnonzero(np.diff(open_) > 1) + 1]
+        other = self.trans.copy()
+        other[0, 0] = -np.inf
+        gain = float(other.max() - self.trans[0, 0])
+        # a secret of n tokens takes n transitions at least: where those only cost, some token must make up for its own
+        live = np.maximum.reduceat(lead[open_], head) + gain > 0 if gain <= 0 else np.ones(len(head), bool)
+        last = open_[np.r_[head[1:], len(open_)] - 1]
+        for s, t in zip(open_[head][live].tolist(), (last[live] + 1).tolist(), strict=True):
             best = e[s] + self.trans[0]  # what stands before is outside, or the start
             back = []
             for i in range(s + 1, t):
