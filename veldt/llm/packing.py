@@ -33,6 +33,10 @@ CAP, BLOCK, ISLANDS, FULL = 2048, 4096, 2, 0.998
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: A word that is letters, then ASCII signs: the tokenizer splits it there, and lower-cases these letters as Python does.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
 class Encoder:
     """Ids of whole texts, as little-endian bytes, exactly those of the tokenizer."""
 
@@ -40,28 +44,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # runs of lower-case letters, and of signs
 
     def encode(self, texts: list[str | None], end_id: int = 0) -> list[bytes]:
-        end, memo = np.array([end_id], "<u4").tobytes(), self.memo
-        if len(memo) > MEMO_MAX:
-            memo.clear()
-        out = []
-        for t in texts:
-            if t and _ODD.search(t):
-                out.append(self._ids([t])[0] + end)
-                continue
-            w = t.split() if t else []
-            try:
-                out.append(b"".join(map(memo.__getitem__, w)) + end)
-            except KeyError:
-                new = list({x for x in w if x not in memo})
-                own = dict(zip(new, self._ids(new), strict=True))
-                memo.update((k, v) for k, v in own.items() if len(k) <= 64)
-                out.append(b"".join([own[x] if x in own else memo[x] for x in w]) + end)
-        return out
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        for memo in (self.words, self.parts):
+            if len(memo) > MEMO_MAX:
+                memo.clear()
+        end, memo = np.array([end_id], "<u4").tobytes(), self.words
+        odd = {i for i, t in enumerate(texts) if t and _ODD.search(t)}
+        split = [t.split() if t and i not in odd else [] for i, t in enumerate(texts)]
+        new = {w for ws in split for w in ws if w not in memo}
+        if new:
+            self._learn(new)
+        return [(self._whole([t])[0] if i in odd else b"".join([memo[w] for w in ws])) + end for i, (t, ws) in enumerate(zip(texts, split, strict=True))]
+
+    def _learn(self, new: set[str]) -> None:
+        parts, simple, other = self.parts, [], []
+        for w in new:
+            m = _SIMPLE.fullmatch(w)
+            if m:
+                simple.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        letters = list({x for _, x, _ in simple if x not in parts})
+        if letters:
+            # one call for all: each run of letters ends with the one token that ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) == len(letters) and cut[-1] == len(ids):
+                raw = ids.tobytes()
+                parts.update(zip(letters, (raw[4 * s : 4 * e] for s, e in zip([0, *cut], cut, strict=False)), strict=True))
+            else:
+                parts.update(zip(letters, self._whole(letters), strict=True))
+        signs = list({x for _, _, x in simple if x not in parts})
+        parts.update(zip(signs, self._whole(signs), strict=True))
+        self.words.update((w, parts[a] + parts[b]) for w, a, b in simple)
+        self.words.update(zip(other, self._whole(other), strict=True))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -77,8 +100,7 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAP, with_ids: bool = Fa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         at, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, t in enumerate(b.column("text")):  # one text at a time
-            x = enc.encode([t.as_py()])[0]
+        for i, x in enumerate(enc.encode(b.column("text").to_pylist())):
             for p, s in enumerate(range(0, len(x), 4 * cap)):
                 part = x[s : s + 4 * cap]
                 at.append(i)
