@@ -84,23 +84,21 @@ def base_failed() -> F.Column:
 
 
 def _log_cdf(k: int, n: int, p: float) -> float:
-    """ln P(X <= k), X binomial, by the terms' logarithms."""
-    if p <= 0 or k >= n:
+    """ln P(X <= k), X binomial, for p of k / n or more: terms fall from that of k downwards, and are summed until they vanish."""
+    if k >= n:
         return 0.0
     if p >= 1:
         return -math.inf
-    i = np.arange(k + 1)
-    lg = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-    t = lg[n] - lg[i] - lg[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)
-    return float(t.max() + math.log(np.exp(t - t.max()).sum()))
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (k * math.log(p) if k else 0.0) + (n - k) * math.log1p(-p)
+    i = np.arange(k, max(0, k - 1000 - 40 * math.isqrt(n)), -1)
+    below = np.cumsum(np.log(i / (n - i + 1)) + math.log1p(-p) - math.log(p)) if k else i
+    return top + math.log1p(float(np.exp(below).sum()))
 
 
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """The exact one-sided upper bound of a share, k of n seen, at error level delta."""
-    if n == 0 or k >= n:
+    if k >= n:
         return 1.0
-    if n > 2_000_000:  # beyond that the table of logarithms is large; Hoeffding's bound is safe and close
-        return min(1.0, k / n + math.sqrt(math.log(1 / delta) / (2 * n)))
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
