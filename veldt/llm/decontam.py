@@ -69,7 +69,8 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcas
     known = _sized(checkpointed(anchors(windows, frequencies(docs, windows, max_broadcast))), max_broadcast)
     start = F.col("pos") - F.col("at")
     found = tokens(docs).join(known, "word").where((start >= 0) & (start + F.col("len") <= F.size("w")))
-    found = found.where(F.get("w", start + F.col("at2")) == F.col("word2")).where(F.slice("w", start + 1, F.col("len")) == F.col("win"))
+    here = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len"))  # valid in whatever order the conditions are taken
+    found = found.where((F.get("w", start + F.col("at2")) == F.col("word2")) & (here == F.col("win")))
     return found.select("doc_id", "th", start.alias("start"), "len", "items")
 
 
