@@ -56,6 +56,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def apart(*cols: str) -> list[Column]:
     """Equal keys in another guise: a join on them is dealt anew instead of reusing a grouping's partitions, so that adaptive execution may split a hot key."""
     return [F.col(c).bitwiseXOR(F.lit(0x5DEECE66D)).alias(f"__k{i}") for i, c in enumerate(cols)]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table
+from .common import ascii_lower, checkpointed, free_name, table
 
 WINDOW = 10
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -104,8 +104,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadc
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
     """docs without the rows that hold any window."""
-    bad = occurrences(docs, items, n, max_broadcast).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    d, h = free_name(docs, "__d"), free_name(docs, "__h")
+    bad = occurrences(docs, items, n, max_broadcast).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

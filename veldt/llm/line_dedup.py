@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, map_arrow, small_batches, table
+from .common import ASCII_LOWER, apart, free_name, map_arrow, small_batches, table
 
 _WS = b" \t\n\x0b\x0c\r"
 
@@ -72,19 +72,23 @@ def lines_to_drop(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Da
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
-    """docs with text without its dropped lines, and n_lines, n_dropped (__-prefixed names are the join's own)."""
-    drop = lines_to_drop(docs, min_docs, min_chars).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-    out = docs.join(drop, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    spec = out.select(*[f"`{f.name}`" for f in fields], "__drop")
-    schema = type(docs.schema)([*fields]).add("n_lines", "long").add("n_dropped", "long")
+def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, counts: bool = True) -> DataFrame:
+    """docs with text without its dropped lines and, if asked for, n_lines and n_dropped in place of columns of these names."""
+    id_, lost = free_name(docs, "__doc"), free_name(docs, "__drop")
+    drop = lines_to_drop(docs, min_docs, min_chars).select(F.col("doc_id").alias(id_), F.col("drop").alias(lost))
+    out = docs.join(drop, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
+    more = ["n_lines", "n_dropped"] if counts else []
+    fields = [f for f in docs.schema.fields if f.name not in more]
+    spec = out.select(*[f"`{f.name}`" for f in fields], lost)
+    schema = type(docs.schema)([*fields])
+    for name in more:
+        schema = schema.add(name, "long")
     names = [f.name for f in fields]
 
     def run(batches):
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            for t, d in zip(b.column("text").to_pylist(), b.column("__drop").to_pylist(), strict=True):
+            for t, d in zip(b.column("text").to_pylist(), b.column(lost).to_pylist(), strict=True):
                 lines = (t or "").count("\n") + 1
                 if d:
                     gone = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in d}
@@ -96,14 +100,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
                 texts.append(t)
                 n_lines.append(lines)
             cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            cols += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays(cols, [*names, *more])
 
     small_batches(docs.sparkSession)
     return spec.mapInArrow(run, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, counts=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ holds the record. A shard's share follows its weight; a new shard takes rows onl
 only its own. The law that holds is `key`: doc_id and the shards decide, nothing else.
 
 Slots within a shard are numbered in two steps, so that no task holds a whole shard: rows are counted by
-(shard, bucket of the key's hash), a running sum over that table of fixed size (shards x buckets) gives each bucket's first slot,
+(shard, bucket of a hash of key, size and checksum), a running sum over that table of fixed size (shards x buckets) gives each bucket's first slot,
 and rows are numbered within their bucket.
 
 Defined cases: a null doc_id is a key like any other; a null text has no bytes (size 16, crc 0); repeated doc_ids share a
@@ -51,7 +51,7 @@ def assign_shards(docs: DataFrame, weights: list[float] | None = None, grown_wei
 
 def with_slots(rows: DataFrame, buckets: int = 256) -> DataFrame:
     """rows with slot: gapless from 0 within each shard."""
-    b = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int")
+    b = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int")  # rows of one doc_id part by text
     counts = rows.groupBy("shard", b.alias("__b")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))

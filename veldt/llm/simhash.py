@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, checkpointed, map_arrow, small_batches, table
+from .common import ASCII_LOWER, apart, checkpointed, free_name, map_arrow, small_batches, table
 from .components import components
 
 RADIUS, SHINGLE, SEED, TILE = 4, 4, 42, 2048
@@ -191,10 +191,11 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that of the smallest doc_id; rows without doc_id stay."""
+    """Of each component what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay."""
     groups = near_groups(docs, radius)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
