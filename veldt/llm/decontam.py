@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, checkpointed, free_name, table
 
 WINDOW = 10
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is not in [\x00-\x2F\x3A-\x60\x7B-\x7F], named by what it holds, letters first: Java's matcher is ten times as fast then.
+_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+_ANY_CASE = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
