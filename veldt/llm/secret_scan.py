@@ -21,7 +21,6 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ _NAMES = "|".join(map(_ANY, ("password", "passwd", "secret", "token"))) + "|" +
 ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+_HINTS = ("passw", "secret", "token", "api")
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]+")
 TAGS, BUCKETS, CONTEXT, MAX_TRAIN, MEMO = 3, 1 << 14, 8, 1500, 250_000  # outside, begin, inside
 Span = tuple[str, int, int]
@@ -43,7 +43,8 @@ Span = tuple[str, int, int]
 
 def base_spans(text: str) -> list[Span]:
     """Leftmost spans of each kind, without those that are too short, by start and then kind."""
-    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    low = text.lower()  # at least what has a keyword in either case
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if any(k in low for k in _HINTS) else []
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -54,24 +55,70 @@ def _bucket(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}={value}".encode()) % BUCKETS
 
 
+class _Classes(dict):
+    """For str.translate: letters to a or A, digits to 9, all else as it is."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        self[c] = out = "9" if "0" <= x <= "9" else "A" if "A" <= x <= "Z" else "a" if x.isalpha() else x
+        return out
+
+
+_CLASSES = _Classes()
+_DIGITS, _UPPER, _LOWER, _HEX = map(frozenset, ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"))
+_RUN = re.compile(r"(.)\1+", re.S)
+_BITS: dict[tuple, int] = {}  # half bits of entropy by sorted counts
+_SHAPES: dict[str, str] = {}
+OwnKey = tuple[str, int, str, int, bool, bool]
+
+
+def _runs(x: str) -> str:
+    """Runs as one sign each; of many runs only which classes there are."""
+    x = _RUN.sub(r"\1", x[:4096])
+    return x if len(x) <= 6 else "".join(sorted(set(x)))[:12] + "+"
+
+
 def _shape(w: str) -> str:
-    s = re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", w))))
-    return re.sub(r"(.)\1+", r"\1", s)[:12]
+    x = w.translate(_CLASSES)
+    if x not in _SHAPES:
+        if len(x) > 64:
+            return _runs(x)
+        if len(_SHAPES) > 50_000:
+            _SHAPES.clear()
+        _SHAPES[x] = _runs(x)
+    return _SHAPES[x]
+
+
+def own_key(w: str) -> OwnKey:
+    """Shape, length, mix of classes, entropy, whether all is hex, whether it starts like an access key."""
+    n, head = len(w), w[:4096]
+    c = set(head)
+    counts = tuple(sorted(map(head.count, c)))
+    bits = _BITS.get(counts)
+    if bits is None:
+        if len(_BITS) > 50_000:
+            _BITS.clear()
+        bits = _BITS[counts] = int(-2 * sum(v / len(head) * math.log2(v / len(head)) for v in counts))
+    mix = "01"[not c.isdisjoint(_DIGITS)] + "01"[not c.isdisjoint(_UPPER)] + "01"[not c.isdisjoint(_LOWER)]
+    return _shape(w), min(12, n.bit_length() * 2 + (n * 2 >> n.bit_length() & 1)), mix, bits, c <= _HEX, w.startswith("AKIA")
+
+
+def key_features(key: OwnKey) -> list[int]:
+    shape, size, mix, bits, is_hex, access = key
+    return [_bucket("s", shape), _bucket("n", str(size)), _bucket("m", mix), _bucket("mn", f"{mix}{size}"), _bucket("e", f"{bits}{mix}"), _bucket("h", f"{is_hex}{size}"), _bucket("a", "AKIA" if access else "")]
 
 
 def own_features(w: str) -> list[int]:
-    n, head = len(w), w[:4096]
-    c = Counter(head)
-    bits = -sum(v / len(head) * math.log2(v / len(head)) for v in c.values())
-    digit, upper, lower = any("0" <= x <= "9" for x in c), any("A" <= x <= "Z" for x in c), any("a" <= x <= "z" for x in c)
-    size, mix = min(12, n.bit_length() * 2 + (n * 2 >> n.bit_length() & 1)), f"{digit:d}{upper:d}{lower:d}"
-    is_hex = all(x in "0123456789abcdef" for x in c)
-    return [_bucket("s", _shape(w)), _bucket("n", str(size)), _bucket("m", mix), _bucket("mn", f"{mix}{size}"), _bucket("e", f"{int(2 * bits)}{mix}"), _bucket("h", f"{is_hex}{size}"), _bucket("a", "AKIA" if w.startswith("AKIA") else "")]
+    return key_features(own_key(w))
+
+
+#: A word as its neighbours see it: the token before, the one before that, the next.
+SEEN = ("-1", "-2", "+1")
+_SEEDS = tuple(zlib.crc32(f"{k}=".encode()) for k in SEEN)
 
 
 def _word(kind: str, w: str) -> list[int]:
-    low = w.lower()[:40]
-    return [_bucket(kind, low), _bucket(kind + "s", _shape(w))]
+    return [_bucket(kind, w[:40].lower()), _bucket(kind + "s", _shape(w))]
 
 
 def file_features(text: str, n_tokens: int) -> list[int]:
@@ -86,30 +133,50 @@ class Field:
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
         self.weights, self.trans = weights, trans
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, 4, TAGS), "f4")  # own, next token's, token before's, the one before that
+        self.rows = np.zeros((1 << 12, 4, TAGS), "f4")  # own, and as each of SEEN
+        self.keys: dict[OwnKey, int] = {}
+        self.by_key = np.zeros((1 << 10, 4, TAGS), "f4")
+
+    def _key(self, key: OwnKey) -> int:
+        """The place in by_key of what words of this key have in common."""
+        k = self.keys.get(key)
+        if k is None:
+            k = self.keys[key] = len(self.keys)
+            if k >= len(self.by_key):
+                self.by_key = np.concatenate([self.by_key, np.zeros_like(self.by_key)])
+            self.by_key[k, 0] = self.weights[key_features(key)].sum(axis=0)
+            for j, kind in enumerate(SEEN, 1):
+                self.by_key[k, j] = self.weights[_bucket(kind + "s", key[0])]
+        return k
 
-    def _row(self, w: str) -> int:
-        k = len(self.memo)
-        if k >= len(self.rows):
+    def _learn(self, new: list[str]) -> None:
+        """Scores of new words, all at once."""
+        crc, (one, two, after) = zlib.crc32, _SEEDS
+        keys, buckets = [], []
+        for w in new:
+            keys.append(self._key(own_key(w)))
+            low = w[:40].lower().encode()
+            buckets += (crc(low, one), crc(low, two), crc(low, after))
+        k, n = len(self.memo), len(new)
+        while k + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for j, f in enumerate((own_features(w), _word("-1", w), _word("-2", w), _word("+1", w))):
-            self.rows[k, j] = self.weights[f].sum(axis=0)
-        self.memo[w] = k
-        return k
+        self.rows[k : k + n] = self.by_key[keys]
+        self.rows[k : k + n, 1:] += self.weights[np.array(buckets).reshape(n, 3) % BUCKETS]
+        self.memo.update(zip(new, range(k, k + n), strict=True))
 
     def emissions(self, tokens: list[str], text: str) -> np.ndarray:
         if len(self.memo) + len(tokens) > MEMO + 100_000:
             self.memo.clear()
+            self.keys.clear()
         memo = self.memo
-        try:
-            ids = [memo[w] for w in tokens]
-        except KeyError:
-            ids = [memo[w] if w in memo else self._row(w) for w in tokens]
-        ids = np.array(ids)
-        e = self.rows[ids, 0].astype("f8") + self.weights[file_features(text, len(tokens))].sum(axis=0)
-        e[1:] += self.rows[ids[:-1], 1]
-        e[2:] += self.rows[ids[:-2], 2]
-        e[:-1] += self.rows[ids[1:], 3]
+        new = [w for w in set(tokens) if w not in memo]
+        if new:
+            self._learn(new)
+        r = self.rows[np.fromiter(map(memo.__getitem__, tokens), "i8", len(tokens))]
+        e = r[:, 0].astype("f8") + self.weights[file_features(text, len(tokens))].sum(axis=0)
+        e[1:] += r[:-1, 1]
+        e[2:] += r[:-2, 2]
+        e[:-1] += r[1:, 3]
         return e
 
     def decode(self, tokens: list[str], text: str) -> np.ndarray:
@@ -173,7 +240,7 @@ def tag_tokens(text: str, spans: list[Span]) -> tuple[list[str], np.ndarray]:
     return [m.group() for m in found], tags
 
 
-def windows(text: str, rng: np.random.Generator, hide: float = 0.3) -> list[tuple[list[list[int]], np.ndarray]]:
+def windows(text: str, rng: np.random.Generator, hide: float = 0.5) -> list[tuple[list[list[int]], np.ndarray]]:
     """Training windows of 2 * CONTEXT + 1 tokens: around each secret, around the longest other tokens, and by chance."""
     tokens, tags = tag_tokens(text, base_spans(text))
     n, size = len(tokens), 2 * CONTEXT + 1
