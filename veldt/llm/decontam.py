@@ -7,8 +7,8 @@ lie in its own row (the index is partitioned by document), so the intersection i
 that row's token array and no posting is shuffled. Windows with a word that no document has are dropped before.
 Frequent words are never looked up unless a window has no rarer one, and a frequent passage costs a row for each place.
 
-The tables of window words and of windows are broadcast only while max_broadcast rows or fewer, counted before; beyond, they
-are joined by word, with adaptive splitting of frequent words.
+The tables of window words and of windows are broadcast only while max_broadcast rows or fewer, counted before; beyond, postings and
+windows are joined by word, with adaptive splitting of frequent words, and the places found are verified in their document.
 
 Defined cases: null and empty texts have no words; items without words have no window; repeated items count each by
 item_id, null item_ids not at all; rows that share a doc_id are told apart by a hash of the text; other columns are left out.
@@ -67,12 +67,19 @@ def anchors(windows: DataFrame, freq: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
     """(doc_id, th, start, len, items): each place where a window occurs word for word."""
     windows = checkpointed(item_windows(items, n))
-    known = _sized(checkpointed(anchors(windows, frequencies(docs, windows, max_broadcast))), max_broadcast)
+    known = checkpointed(anchors(windows, frequencies(docs, windows, max_broadcast)))
     start = F.col("pos") - F.col("at")
-    found = tokens(docs).join(known, "word").where((start >= 0) & (start + F.col("len") <= F.size("w")))
-    here = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len"))  # valid in whatever order the conditions are taken
-    found = found.where((F.get("w", start + F.col("at2")) == F.col("word2")) & (here == F.col("win")))
-    return found.select("doc_id", "th", start.alias("start"), "len", "items")
+    if known.count() <= max_broadcast:
+        found = tokens(docs).join(F.broadcast(known), "word").where((start >= 0) & (start + F.col("len") <= F.size("w")))
+        here = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len"))  # valid in whatever order the conditions are taken
+        found = found.where((F.get("w", start + F.col("at2")) == F.col("word2")) & (here == F.col("win")))
+        return found.select("doc_id", "th", start.alias("start"), "len", "items")
+    # postings are shuffled by word without their documents' tokens, which meet a document's candidates once
+    may = tokens(docs).select("doc_id", "th", "pos", "word").join(known, "word").where(start >= 0)
+    may = may.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_set(F.struct(start.alias("start"), "len", "win", "items")).alias("c"))
+    both = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).join(may, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+    hit = F.filter("c", lambda x: F.slice("w", x["start"] + 1, x["len"]) == x["win"])
+    return both.select("doc_id", "th", F.explode(hit).alias("x")).select("doc_id", "th", "x.start", "x.len", "x.items")
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
