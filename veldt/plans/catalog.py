@@ -80,7 +80,7 @@ XS = "x AS (SELECT s_suppkey AS i, CAST(c AS INTEGER) AS c, CAST(CASE c WHEN 0 T
 YS = "y AS (SELECT s_suppkey AS i, CAST(c AS INTEGER) AS c, CAST(CASE c WHEN 0 THEN s_suppkey % 11 ELSE s_suppkey % 5 END AS DOUBLE) AS v FROM supplier, range(2) t(c))"
 AX = "ax AS (SELECT a.i, x.c, sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY 1, 2)"
 SP = "a AS (SELECT l_suppkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem)"
-P4 = lambda i: f"CAST(least(3, {i} * 4 // (SELECT count(*) FROM supplier)) AS INTEGER)"
+P4 = lambda i: f"CAST(least(3, {i} // ((SELECT count(*) FROM supplier) // 4)) AS INTEGER)"
 
 
 def _lap_sql(expr: str, more: str = "") -> str:
@@ -457,7 +457,7 @@ def dist_nnz(s, d):
     return _offs_df(s, dist.by_nnz(_items(s, d), 4))
 
 
-@query("SELECT o_orderkey AS i, CAST(least(3, o_orderkey * 4 // (SELECT count(*) FROM orders)) AS INTEGER) AS part FROM orders")
+@query("SELECT o_orderkey AS i, CAST(least(3, o_orderkey // ((SELECT count(*) FROM orders) // 4)) AS INTEGER) AS part FROM orders")
 def rank_of_row(s, d):
     n = _t(s, d, "orders").count()
     return s.range(n).select(F.col("id").alias("i"), dist.owner(dist.by_rows(n, 4))(F.col("id")).alias("part"))
