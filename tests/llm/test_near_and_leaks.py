@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veldt.llm import decontam, simhash
+from veldt.llm import decontam, shingle_sets, simhash
 from veldt.llm.components import components
 
 from .made import SCHEMA, docs, groups, odd_rows, prose
@@ -79,6 +79,27 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_copies_are_those_of_plain_sets(spark, monkeypatch):
+    """Ten edits a copy of 300 words are similar at about 0.7 to 0.9, beyond four bits; small tiles make a grid."""
+    monkeypatch.setattr(shingle_sets, "TILE", 8)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        base = prose(rng, 300).split()
+        for _ in range(rng.choice((2, 4, 30))):
+            w = list(base)
+            for p in rng.sample(range(300), rng.choice((2, 5, 7, 10))):
+                w[p] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    want = groups(range(len(rows)), links)
+    assert len(set(want.values())) < len(rows) - 20
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(docs(spark, rows)).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()} == set(want.values())
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 400)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(150)]

@@ -13,6 +13,9 @@ k grows with the number of fingerprints (a count), so that groups stay small at
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle are one
 shingle; repeated rows and equal texts share a fingerprint; a row without doc_id gets its fingerprint, and a
 component_id only from rows that have a doc_id.
+
+The pipeline's stage needs links at a shingle similarity of 0.8, where fingerprints differ in about 10 bits, beyond any radius that blocks
+can search: it takes shingle_sets instead.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, apart, checkpointed, free_name, map_arrow, small_batches, table
 from .components import components
+from .shingle_sets import near_copies
 
 RADIUS, SHINGLE, SEED, TILE = 4, 4, 42, 2048
 
@@ -190,9 +194,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.select("doc_id", "fp", *apart("fp")).join(named, "__k0", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each component what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay."""
-    groups = near_groups(docs, radius)
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """Of each component of near copies by five-word shingles (shingle_sets) what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay."""
+    groups = near_copies(docs)
     name = free_name(docs, "__gone")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
