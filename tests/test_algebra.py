@@ -11,7 +11,7 @@ from veldt.operators import distribute as dist
 from veldt.operators.block_vector import BlockVector
 from veldt.operators.matrix import SparseMatrix
 from veldt.operators.spmv import SpmvOpts, spmv
-from veldt.plans import timing
+from veldt.plans import catalog, timing
 from veldt.plans.dtypes import DType
 from veldt.sources import formats
 
@@ -145,6 +145,20 @@ def test_rcm_narrows_the_band(spark):
     assert after < before
 
 
+def test_rcm_orders_every_row(spark, sf):
+    """Ten thousand rows without neighbours and more, two pieces; the bound raises; the query covers its tables."""
+    n = 10_050
+    a = SparseMatrix(spark.createDataFrame([(3, 4, 1.0), (4, 5, 1.0), (9, 10, 1.0), (8, 8, 1.0)], "i long, j long, v double"), n, n)
+    at = {r["idx"]: r["perm"] for r in permute.rcm(a).collect()}
+    linked = [3, 4, 5, 9, 10]
+    want = [i for i in range(n) if i not in linked] + [3, 4, 5, 9, 10]
+    assert at == {i: n - 1 - k for k, i in enumerate(want)}
+    with pytest.raises(RuntimeError):
+        permute.rcm(SparseMatrix.stencil(spark, 6, {-1: 1.0, 1: 1.0}), max_levels=2)
+    rows = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "part"))
+    assert sorted(r["perm"] for r in catalog.QUERIES["rcm"](spark, sf).collect()) == list(range(rows))
+
+
 def test_colours_are_valid(spark):
     m = random_sparse(30, 30, 0.15)
     color = {r["i"]: r["color"] for r in permute.color(sparse(spark, m)).collect()}

@@ -54,31 +54,32 @@ def _pattern(a: SparseMatrix) -> DataFrame:
     return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def rcm(a: SparseMatrix, max_levels: int = 10_000) -> DataFrame:
-    """Reverse Cuthill-McKee on the symmetrised pattern: levels from a row of least degree, each by (first parent, degree, row); the number of jobs is that of the levels."""
+def rcm(a: SparseMatrix, max_levels: int | None = None) -> DataFrame:
+    """Reverse Cuthill-McKee on the symmetrised pattern: levels from a row of least degree, each by (first parent, degree, row); the number of jobs is that of the levels.
+
+    Rows without neighbours, which come first, are one step. All rows are ordered; a bound on the levels raises when it is hit.
+    """
     if a.nrows != a.ncols:
         raise ValueError("this ordering needs a square matrix")
     edges = cut(_pattern(a))
     space = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i"))
     deg = edges.groupBy("a").agg(F.count("*").alias("d"))
     nodes = cut(space.join(deg.withColumnRenamed("a", "i"), "i", "left").select("i", F.coalesce("d", F.lit(0)).alias("d")))
-    done = front = None
-    n = 0
-    for _ in range(max_levels):
+    done = cut(global_rank(nodes.where("d = 0").select("i"), "i", name="pos"))
+    n, levels, front = done.count(), 0, None
+    while n < a.nrows:
+        if max_levels is not None and levels >= max_levels:
+            raise RuntimeError("too many levels")
+        levels += 1
         if front is not None:
             nxt = edges.join(front.select(F.col("i").alias("a"), "pos"), "a").groupBy(F.col("b").alias("i")).agg(F.min("pos").alias("p")).join(done, "i", "left_anti").join(nodes, "i")
             front = global_rank(nxt, "p", "d", "i").select("i", (F.col("rank") + n).alias("pos"))
             front = cut(front)
         if front is None or front.isEmpty():  # the next piece
-            left = nodes if done is None else nodes.join(done, "i", "left_anti")
-            start = left.orderBy("d", "i").limit(1).select("i", F.lit(n).cast("long").alias("pos"))
-            front = cut(start)
-            if front.isEmpty():
-                break
+            left = nodes.join(done, "i", "left_anti")
+            front = cut(left.orderBy("d", "i").limit(1).select("i", F.lit(n).cast("long").alias("pos")))
         n += front.count()
-        done = front if done is None else cut(done.unionAll(front))
-        if n == a.nrows:
-            break
+        done = cut(done.unionAll(front))
     return done.select(F.col("i").alias("idx"), (F.lit(a.nrows - 1) - F.col("pos")).alias("perm"))
 
 

@@ -585,9 +585,10 @@ def color_distance2(s, d):
 
 @query()
 def rcm(s, d):
-    n = 64
-    shuffled = s.range(n).select(F.col("id").alias("idx"), (F.col("id") * 37 % n).alias("perm"))
-    return permute.rcm(permute.permute(SparseMatrix.stencil(s, n, {-8: -1.0, -1: -1.0, 0: 4.0, 1: -1.0, 8: -1.0}), shuffled, shuffled))
+    """Suppliers, then parts, linked by all of lineitem."""
+    m, n = _t(s, d, "supplier").count(), _t(s, d, "part").count()
+    e = _t(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("i"), (F.col("l_partkey") + m).cast("long").alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    return permute.rcm(SparseMatrix(e, m + n, m + n))
 
 
 @query()
