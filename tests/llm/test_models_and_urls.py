@@ -58,6 +58,13 @@ def test_cutoffs_spare_the_good(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["kept"]}
 
 
+def test_a_few_hundred_labels_certify(spark):
+    """The whole alpha a stratum: with one stratum and no good one rejected, 149 labels are enough."""
+    d, lab = labelled(spark, 400, 60)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(quality.features(d), quality.fit_cutoffs(quality.features(d), lab)).collect()}
+    assert sum(got[k] for k in range(400)) >= 392 and not any(got[k] for k in range(400, 460))
+
+
 def test_few_labels_certify_nothing(spark):
     d, lab = labelled(spark, 30, 30)
     assert quality.fit_cutoffs(quality.features(d), lab) == {"en": {}}

@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules (word count, repeated windows) reject first. Beyond them, six ratios of a text are held against upper
-cutoffs, fitted per stratum (lang) on the labelled documents that pass the base: a cutoff may stand only if an exact
-binomial (Clopper-Pearson) bound says that, but for the error level, it rejects at most a given share of the good documents
-of its stratum. Each ratio walks its grid from lenient to strict and stops at the first cutoff that fails (fixed-sequence
-testing needs no correction along the walk); over strata and ratios the error level is split evenly (Bonferroni).
+cutoffs, fitted per stratum (lang) on the labelled documents that pass the base: cutoffs may stand only if an exact
+binomial (Clopper-Pearson) bound says that, but for the error level, together they reject at most a given share of the good documents
+of their stratum. One fixed sequence tightens the six, a grid step of one ratio at a time, all from lenient to strict alike, and stops
+at the first step whose union of cutoffs fails (fixed-sequence testing needs no correction along the walk); over strata alone the error
+level is split evenly (Bonferroni).
 So with probability 1 - delta, in every stratum the six cutoffs together reject at most alpha of the good documents.
-Counts per stratum, ratio and grid step are sums over all labelled documents; only that table, of fixed width, reaches the driver.
+Counts per stratum and step are sums over all labelled documents; only that table reaches the driver.
 A stratum with too few labels certifies nothing and rejects nothing beyond the base.
 
 Defined cases: a null or empty text has no words and fails the base; a null lang is a stratum of its own; null labels
@@ -36,6 +37,8 @@ GRIDS: dict[str, list[float]] = {
     "word_length": [14.0, 12.0, 10.0, 9.0, 8.0, 7.0],
     "sameness": [0.95, 0.9, 0.85, 0.8, 0.75, 0.7],
 }
+#: (ratio, cutoff) in the order in which they are tested: by the share of the ratio's grid that is used up.
+STEPS = [(f, c) for _, f, c in sorted(((i + 1) / len(g), f, c) for f, g in GRIDS.items() for i, c in enumerate(g))]
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = ", ".join(f"{x} long" for x in _BASE) + ", " + ", ".join(f"{x} double" for x in GRIDS)
 
@@ -109,18 +112,23 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
 def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum and ratio, from feats (of features()) and labels(doc_id, quality)."""
     held = feats.where(~base_failed()).join(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long")), "doc_id")
-    sums = [F.count_if(F.col(f) > c).alias(f"{f}_{i}") for f, grid in GRIDS.items() for i, c in enumerate(grid)]
-    rows = held.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()  # a row for each stratum
-    level = delta / max(1, len(rows) * len(GRIDS))
+    step = F.lit(len(STEPS))  # the first step that rejects a document
+    for k, (f, c) in reversed(list(enumerate(STEPS))):
+        step = F.when(F.col(f) > c, k).otherwise(step)
+    counts: dict[str | None, Counter] = {}
+    for r in held.groupBy("lang", step.alias("step")).count().collect():  # at most len(STEPS) + 1 rows for each stratum
+        counts.setdefault(r["lang"], Counter())[r["step"]] = r["count"]
+    level = delta / max(1, len(counts))
     out: dict[str | None, dict[str, float]] = {}
-    for r in rows:
+    for lang, by_step in counts.items():
         own: dict[str, float] = {}
-        for f, grid in GRIDS.items():
-            for i, c in enumerate(grid):
-                if binomial_upper(r[f"{f}_{i}"], r["n"], level) > alpha / len(GRIDS):
-                    break
-                own[f] = c
-        out[r["lang"]] = own
+        n, hit = by_step.total(), 0
+        for k, (f, c) in enumerate(STEPS):
+            hit += by_step[k]
+            if binomial_upper(hit, n, level) > alpha:
+                break
+            own[f] = c
+        out[lang] = own
     return out
 
 
