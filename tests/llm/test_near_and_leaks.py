@@ -79,6 +79,13 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_repeated_id_loses_only_the_copy(spark):
+    rng = random.Random(7)
+    x, y, z = (prose(rng, 100) for _ in range(3))
+    got = simhash.drop_near_copies(docs(spark, [(2, y), (5, x), (5, y), (7, x), (8, z)]))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(2, y), (5, x), (8, z)])
+
+
 def test_near_copies_are_those_of_plain_sets(spark, monkeypatch):
     """Ten edits a copy of 300 words are similar at about 0.7 to 0.9, beyond four bits; small tiles make a grid."""
     monkeypatch.setattr(shingle_sets, "TILE", 8)

@@ -195,11 +195,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Of each component of near copies by five-word shingles (shingle_sets) what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay."""
+    """Of each component of near copies by five-word shingles (shingle_sets) what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay.
+
+    Rows that share a doc_id are told apart by a hash of the text.
+    """
     groups = near_copies(docs)
-    name = free_name(docs, "__gone")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    d, h = free_name(docs, "__gone"), free_name(docs, "__h")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
