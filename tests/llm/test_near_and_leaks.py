@@ -171,6 +171,15 @@ def test_clean_documents_stay(spark):
     assert decontam.drop_contaminated(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_passages_without_id_are_dropped(spark, most):
+    rng = random.Random(8)
+    leak = prose(rng, 20)
+    bench = spark.createDataFrame([(None, leak), (1, prose(rng, 20))], "item_id long, text string")
+    d = docs(spark, [(1, f"a b {leak} c"), (2, prose(rng, 40))])
+    assert [r["doc_id"] for r in decontam.drop_contaminated(d, bench, max_broadcast=most).collect()] == [2]
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "one two three four"), (2, "red green blue")], "item_id long, text string")
     d = docs(spark, [(1, "x one four y three two z"), (2, "one x x x x x x x x x x two three four"), (3, "blue, green. RED"), (4, "red green")])

@@ -11,7 +11,8 @@ The tables of window words and of windows are broadcast only while max_broadcast
 windows are joined by word, with adaptive splitting of frequent words, and the places found are verified in their document.
 
 Defined cases: null and empty texts have no words; items without words have no window; repeated items count each by
-item_id, null item_ids not at all; rows that share a doc_id are told apart by a hash of the text; other columns are left out.
+item_id; items with a null item_id count in the pipeline's stage, which asks for passages alone, and not in op9, whose SQL leaves
+them out; rows that share a doc_id are told apart by a hash of the text; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(win, items): each distinct window and the item_ids that hold it."""
-    w = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+def item_windows(items: DataFrame, n: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """(win, items): each distinct window and the item_ids that hold it; unnamed: also windows of null item_ids, with no id for them."""
+    w = (items if unnamed else items.where("item_id is not null")).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.lit(n), F.size("w"))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
     rows = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("win"))
@@ -64,9 +65,9 @@ def anchors(windows: DataFrame, freq: DataFrame) -> DataFrame:
     return w.select(F.col("t")[0]["word"].alias("word"), F.col("t")[0]["at"].alias("at"), second["word"].alias("word2"), second["at"].alias("at2"), F.size("win").alias("len"), "win", "items")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000, unnamed: bool = False) -> DataFrame:
     """(doc_id, th, start, len, items): each place where a window occurs word for word."""
-    windows = checkpointed(item_windows(items, n))
+    windows = checkpointed(item_windows(items, n, unnamed))
     known = checkpointed(anchors(windows, frequencies(docs, windows, max_broadcast)))
     start = F.col("pos") - F.col("at")
     if known.count() <= max_broadcast:
@@ -111,9 +112,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadc
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
-    """docs without the rows that hold any window."""
+    """docs without the rows that hold any window, of items with or without an item_id."""
     d, h = free_name(docs, "__d"), free_name(docs, "__h")
-    bad = occurrences(docs, items, n, max_broadcast).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
+    bad = occurrences(docs, items, n, max_broadcast, unnamed=True).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
