@@ -126,6 +126,18 @@ def test_packing_of_odd_rows(spark):
     assert len(at) <= least + 2, (len(at), least)
 
 
+def test_stalled_rounds_leave_one_bad_bin(spark):
+    """Sizes of which three make 0.9 of a sequence: no bin comes full, and each of the blocks has one badly filled bin until those meet."""
+    n = 1210
+    pieces = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(30).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    got = packing.pack(pieces, 100, block=64).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(n))
+    bins = defaultdict(int)
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 100 and sum(v < 90 for v in bins.values()) <= 1
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -6,7 +6,9 @@ slightly shuffled orders: crossover injects whole well-filled bins of one parent
 taken apart (so that no piece is twice there), and what is displaced is put back by best fit; fewer bins win, and then the fuller ones.
 Each island then sends its elite to the next one, which breeds on from both; the best island of a block wins. Breeding stops
 early when the bins are as few as their tokens allow. Bins that stay short of full are opened again, and their pieces of all blocks are
-dealt anew, round after round, until one block holds them all.
+dealt anew, round after round, until one block holds them all. Where a round closes under a tenth of its pieces (their sizes hardly
+fill a sequence), only the least-filled eighth of each block's open bins, one at least, is opened again and the others are done: few pieces
+are left soon, and the badly filled bins of all blocks meet in one.
 
 Ids: a word's ids don't depend on its neighbours, as the tokenizer splits at white space first; a worker remembers words up to a
 fixed number. Texts with the separators U+001C to U+001F, on which notions of white space differ, are encoded whole.
@@ -24,7 +26,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO_MAX, checkpointed, map_arrow, table
@@ -269,16 +271,22 @@ def pack(pieces: DataFrame, cap: int = CAP, block: int = BLOCK, islands: int = I
         salt += 1
         got = checkpointed(_round(rest, n_blocks, salt, cap, islands))
         seq = (-F.lit(1).cast("long") - F.lit(salt << 56) - F.call_function("shiftleft", F.col("block").cast("long"), F.lit(24)) - F.col("bin")).alias("sequence_id")
-        closed = (F.col("load") >= full * cap) if n_blocks > 1 else F.lit(True)
-        done.append(got.where(closed).select(*names, seq, "offset"))
         if n_blocks == 1:
+            done.append(got.select(*names, seq, "offset"))
             break
+        closed = F.col("load") >= full * cap
+        left = got.where(~closed).count()
+        if left > 0.9 * n or salt > 40:  # hardly any bin came full: dealing them all anew gains nothing
+            bins = got.where(~closed).select("block", "bin", "load").distinct()
+            worst = F.row_number().over(Window.partitionBy("block").orderBy("load", "bin")) <= F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("block")) / 8))
+            worst = bins.select(F.col("block").alias("__b"), F.col("bin").alias("__n"), worst.alias("__open"))
+            got = checkpointed(got.join(worst, (F.col("block") == F.col("__b")) & (F.col("bin") == F.col("__n")), "left"))
+            closed = ~F.coalesce("__open", F.lit(False))
+            left = got.where(~closed).count()
+            if left == n:  # a bin a block: larger blocks
+                block *= 2
+        done.append(got.where(closed).select(*names, seq, "offset"))
         rest = got.where(~closed).select(*names)
-        if salt > 40:
-            raise RuntimeError("packing did not settle")
-        if rest.count() > 0.9 * n:  # hardly any bin came full: dealing anew gains nothing
-            done.append(got.where(~closed).select(*names, seq, "offset"))
-            break
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)
