@@ -21,6 +21,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ OwnKey = tuple[str, int, str, int, bool, bool]
 
 def _runs(x: str) -> str:
     """Runs as one sign each; of many runs only which classes there are."""
-    x = _RUN.sub(r"\1", x[:4096])
+    x = _RUN.sub(r"\1", x)
     return x if len(x) <= 6 else "".join(sorted(set(x)))[:12] + "+"
 
 
@@ -91,14 +92,13 @@ def _shape(w: str) -> str:
 
 def own_key(w: str) -> OwnKey:
     """Shape, length, mix of classes, entropy, whether all is hex, whether it starts like an access key."""
-    n, head = len(w), w[:4096]
-    c = set(head)
-    counts = tuple(sorted(map(head.count, c)))
+    n, c = len(w), set(w)
+    counts = tuple(sorted(map(w.count, c) if len(c) < 128 else Counter(w).values()))
     bits = _BITS.get(counts)
     if bits is None:
         if len(_BITS) > 50_000:
             _BITS.clear()
-        bits = _BITS[counts] = int(-2 * sum(v / len(head) * math.log2(v / len(head)) for v in counts))
+        bits = _BITS[counts] = int(-2 * sum(v / n * math.log2(v / n) for v in counts))
     mix = "01"[not c.isdisjoint(_DIGITS)] + "01"[not c.isdisjoint(_UPPER)] + "01"[not c.isdisjoint(_LOWER)]
     return _shape(w), min(12, n.bit_length() * 2 + (n * 2 >> n.bit_length() & 1)), mix, bits, c <= _HEX, w.startswith("AKIA")
 
