@@ -185,3 +185,10 @@ def test_proximity(spark):
     d = docs(spark, [(1, "x one four y three two z"), (2, "one x x x x x x x x x x two three four"), (3, "blue, green. RED"), (4, "red green")])
     got = decontam.proximity(d, bench, slop=2).select("doc_id", F.explode("items").alias("item")).distinct().collect()
     assert {(r["doc_id"], r["item"]) for r in got} == {(1, 1), (3, 2)}
+
+
+def test_proximity_spans_no_more_than_asked(spark):
+    """The first row has all words within three of the rarest, but in a span of seven words, not five."""
+    bench = spark.createDataFrame([(1, "left rare right")], "item_id long, text string")
+    d = docs(spark, [(1, "left x x rare x x right"), (2, "x left x rare x right"), (3, "left left right right")])
+    assert {r["doc_id"] for r in decontam.proximity(d, bench, slop=2).collect()} == {2}

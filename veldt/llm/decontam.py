@@ -84,13 +84,13 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcas
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
-    """(doc_id, th, pos, items): places of a window's rarest word with all its words, in any order, within n + slop words around."""
+    """(doc_id, th, pos, items): places of a window's rarest word that some len + slop consecutive words of the document hold with all its words, in any order."""
     windows = checkpointed(item_windows(items, n))
     known = _sized(checkpointed(anchors(windows, frequencies(docs, windows, max_broadcast))), max_broadcast)
-    reach = F.col("len") + slop - 1
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    near = F.slice("w", first + 1, F.col("pos") + reach + 1 - first)
-    return tokens(docs).join(known, "word").where(F.size(F.array_except("win", near)) == 0).select("doc_id", "th", "pos", "items").distinct()
+    span = F.col("len") + slop
+    first = F.greatest(F.col("pos") - span + 1, F.lit(0))
+    whole = F.exists(F.sequence(first, F.col("pos")), lambda s: F.size(F.array_except("win", F.slice("w", s + 1, span))) == 0)
+    return tokens(docs).join(known, "word").where(whole).select("doc_id", "th", "pos", "items").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_broadcast: int = 200_000) -> DataFrame:
