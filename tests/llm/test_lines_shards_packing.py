@@ -96,9 +96,13 @@ def tokenizer():
 def test_ids_are_the_tokenizers(sf, spark):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [t for _, t in odd_rows()]
     texts += ["don't stop", "x<|endoftext|>y", "Ŀ İstanbul ǅ ß ẞ", "a\x1cb c\x85d", "é é", "1,234.5 C++ ... --- ''"]
-    got = packing.Encoder(PATH).encode(texts)
-    for t, x in zip(texts, got, strict=True):
-        assert np.frombuffer(x, "<u4").tolist() == [*(tokenizer().encode(t or "", add_special_tokens=False).ids), 0], t
+    texts += ["a\xa0b\u3000c\u2028 d", " \x0b lead and trail \t ", "Ça***ÿÀ&& x_y"]
+    encoder = packing.Encoder(PATH)
+    for _ in range(2):  # learned, and remembered
+        ids, cuts = encoder.encode(texts)
+        for k, t in enumerate(texts):
+            assert ids[cuts[k] : cuts[k + 1]].tolist() == tokenizer().encode(t or "", add_special_tokens=False).ids, t
+    assert encoder.encode([])[0].tolist() == [] and encoder.encode([None])[1].tolist() == [0, 0]
 
 
 def test_packing_of_odd_rows(spark):

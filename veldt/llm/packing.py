@@ -25,22 +25,26 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO_MAX, checkpointed, map_arrow, table
 
 CAP, BLOCK, ISLANDS, FULL = 2048, 4096, 2, 0.998
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-#: A word that is letters, then ASCII signs: the tokenizer splits it there, and lower-cases these letters as Python does.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: White space that is no ASCII white space, and the separators on which notions of white space differ.
+_ODD = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_APART = re.compile("[\x1c-\x1f]")
+#: A word that is letters, then ASCII signs: the tokenizer splits it there.
+_SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian bytes, exactly those of the tokenizer."""
+    """Ids of whole texts, exactly those of the tokenizer.
+
+    Arrow tells the words of a batch apart and cuts them into letters and signs, so that Python sees each such part once a batch; a part's ids lie
+    in one flat array, from which numpy gathers those of whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,52 +52,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}  # runs of lower-case letters, and of signs
-
-    def encode(self, texts: list[str | None], end_id: int = 0) -> list[bytes]:
-        for memo in (self.words, self.parts):
-            if len(memo) > MEMO_MAX:
-                memo.clear()
-        end, memo = np.array([end_id], "<u4").tobytes(), self.words
-        odd = {i for i, t in enumerate(texts) if t and _ODD.search(t)}
-        split = [t.split() if t and i not in odd else [] for i, t in enumerate(texts)]
-        new = {w for ws in split for w in ws if w not in memo}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts: dict[str, int] = {}  # runs of lower-case letters, of signs, and other words, to their rows
+        self.first, self.size, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "<u4")
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the place where each text's ids begin (and where the last ones end)."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        whole: dict[int, np.ndarray] = {}
+        if len(odd):
+            plain = texts.to_pylist()
+            for k in odd.tolist():
+                if _APART.search(plain[k]):
+                    whole[k], plain[k] = np.array(self._whole([plain[k]])[0], "<u4"), ""
+                else:
+                    plain[k] = " ".join(plain[k].split())
+            texts = pa.array(plain, pa.string())
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy()
+        coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        if len(self.parts) > MEMO_MAX:
+            self._forget()
+        cut = pc.extract_regex(coded.dictionary, _SIMPLE)
+        simple = cut.is_valid()
+        letters, signs = self._rows(pc.utf8_lower(pc.struct_field(cut, "letters").filter(simple)), True), self._rows(pc.struct_field(cut, "signs").filter(simple))
+        other = self._rows(coded.dictionary.filter(pc.invert(simple)))
+        rows = np.full((len(coded.dictionary), 2), self._rows(pa.array([""]))[0])  # no ids
+        at = simple.to_numpy(zero_copy_only=False)
+        rows[at, 0], rows[at, 1], rows[~at, 0] = letters, signs, other
+        rows = rows[coded.indices.to_numpy()].ravel()
+        size = self.size[rows]
+        upto = np.r_[0, np.cumsum(size)]
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.first[rows] - upto[:-1], size)]
+        cuts = upto[2 * (ends - ends[0])]
+        if whole:
+            parts = [whole.get(k, ids[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
+            ids, cuts = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+        return ids, cuts
+
+    def _rows(self, parts: pa.Array, letters: bool = False) -> np.ndarray:
+        """The rows of parts, which are learned if they are new."""
+        coded, memo = parts.dictionary_encode(), self.parts
+        own = coded.dictionary.to_pylist()
+        new = [w for w in own if w not in memo]
         if new:
-            self._learn(new)
-        return [(self._whole([t])[0] if i in odd else b"".join([memo[w] for w in ws])) + end for i, (t, ws) in enumerate(zip(texts, split, strict=True))]
-
-    def _learn(self, new: set[str]) -> None:
-        parts, simple, other = self.parts, [], []
-        for w in new:
-            m = _SIMPLE.fullmatch(w)
-            if m:
-                simple.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        letters = list({x for _, x, _ in simple if x not in parts})
-        if letters:
-            # one call for all: each run of letters ends with the one token that ends a word
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cut) == len(letters) and cut[-1] == len(ids):
-                raw = ids.tobytes()
-                parts.update(zip(letters, (raw[4 * s : 4 * e] for s, e in zip([0, *cut], cut, strict=False)), strict=True))
-            else:
-                parts.update(zip(letters, self._whole(letters), strict=True))
-        signs = list({x for _, _, x in simple if x not in parts})
-        parts.update(zip(signs, self._whole(signs), strict=True))
-        self.words.update((w, parts[a] + parts[b]) for w, a, b in simple)
-        self.words.update(zip(other, self._whole(other), strict=True))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, size = self._letters(new) if letters else self._each(new)
+            memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, ids])
+        return np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+
+    def _letters(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """In one call: each run of letters ends with the one token that ends a word."""
+        ids = np.array(self._whole([" ".join(new)])[0], "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(new) and cut[-1] == len(ids):
+            return ids, np.diff(np.r_[0, cut])
+        return self._each(new)
+
+    def _each(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._whole(new)
+        return np.array([i for x in got for i in x], "<u4"), np.fromiter(map(len, got), "i8", len(got))
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def token_pieces(docs: DataFrame, path: str, cap: int = CAP, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, cap: int = CAP, with_ids: bool = False, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids as little-endian unsigned 32-bit binary."""
 
     def fn(b: pa.RecordBatch) -> dict:
@@ -102,13 +134,18 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAP, with_ids: bool = Fa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         at, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, x in enumerate(enc.encode(b.column("text").to_pylist())):
-            for p, s in enumerate(range(0, len(x), 4 * cap)):
-                part = x[s : s + 4 * cap]
+        end = np.array([end_id], "<u4").tobytes()
+        tokens, cuts = enc.encode(b.column("text"))
+        raw = memoryview(tokens).cast("B")
+        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            n = hi - lo + 1
+            for p, s in enumerate(range(0, n, cap)):
+                e = min(n, s + cap)
+                part = bytes(raw[4 * (lo + s) : 4 * (lo + min(e, n - 1))]) + (end if e == n else b"")
                 at.append(i)
                 piece.append(p)
-                start.append(s // 4)
-                length.append(len(part) // 4)
+                start.append(s)
+                length.append(e - s)
                 crc.append(zlib.crc32(part))
                 if with_ids:
                     ids.append(part)
@@ -229,7 +266,7 @@ def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: i
     def second(key, t):
         block, island = (x.as_py() for x in key)
         sources = sorted(set(t["source"].to_pylist()))
-        parts = [_ordered(t.filter(pa.compute.equal(t["source"], s))) for s in sources]
+        parts = [_ordered(t.filter(pc.equal(t["source"], s))) for s in sources]
         sizes, start = parts[0]["length"].to_pylist(), []
         for p in parts:  # each source holds the same pieces in the same order
             bins: dict[int, list[int]] = {}
@@ -244,7 +281,7 @@ def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: i
 
     def choose(t):
         t = t.sort_by([("n_bins", "ascending"), ("fill", "ascending"), ("island", "ascending")])
-        t = t.filter(pa.compute.equal(t["island"], t["island"][0])).sort_by([("bin", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        t = t.filter(pc.equal(t["island"], t["island"][0])).sort_by([("bin", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         b, size = t["bin"].to_numpy(), t["length"].to_numpy()
         head = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         total = np.cumsum(size) - size
