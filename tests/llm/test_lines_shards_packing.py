@@ -162,5 +162,39 @@ def test_genetic_steps_keep_all_items():
     assert any(sorted(x) in full for x in child)  # whole bins were handed on
 
 
+def triplets(n, cap, seed):
+    """Pieces of which three fill a sequence each, so that n are enough; best fit takes more."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(cap * 38 // 100, cap * 49 // 100))
+        b = int(rng.integers((cap - a) * 40 // 100, (cap - a) // 2))
+        out += [a, b, cap - a - b]
+    return rng.permutation(out).tolist()
+
+
+def test_breeding_saves_bins_over_best_fit():
+    saved = []
+    for seed in range(4):
+        sizes = triplets(60, 1000, seed)
+        alone, bred = packing.decreasing(sizes, 1000), packing.evolve(sizes, 1000, seed)
+        assert sorted(i for y in bred for i in y) == list(range(len(sizes))) and all(sum(sizes[i] for i in y) <= 1000 for y in bred)
+        assert len(bred) >= 60
+        saved.append(len(alone) - len(bred))
+    assert min(saved) >= 0 and sum(saved) >= 12, saved
+
+
+def test_islands_and_migration_at_work(spark):
+    """On a block whose best fit takes too many bins, the islands' bred solution is packed, whole and with fewer bins."""
+    sizes = triplets(60, 1000, 7)
+    rows = [(k, 0, 0, n, k) for k, n in enumerate(sizes)]
+    got = packing.pack(spark.createDataFrame(rows, packing._ITEM), 1000).collect()
+    bins = defaultdict(int)
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in got) == list(range(len(sizes))) and max(bins.values()) <= 1000
+    assert len(bins) < len(packing.decreasing(sizes, 1000))
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([6, 5, 4, 5], [0, 1, 2, 3], 10) == [[0, 2], [1, 3]]

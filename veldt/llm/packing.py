@@ -4,8 +4,9 @@ Documents become token ids, and longer ones than a sequence are cut. Pieces that
 hash into blocks of bounded size. Each block is bred on several islands, from best-fit-decreasing solutions of its pieces in
 slightly shuffled orders: crossover injects whole well-filled bins of one parent into another, bins that hold an injected piece are
 taken apart (so that no piece is twice there), and what is displaced is put back by best fit; fewer bins win, and then the fuller ones.
-Each island then sends its elite to the next one, which breeds on from both; the best island of a block wins. Breeding stops
-early when the bins are as few as their tokens allow. Bins that stay short of full are opened again, and their pieces of all blocks are
+Each island then sends its elite to the next one, which breeds on from both, as often as there are migrations; the best island of a block
+wins. Breeding stops early only when the bins are as few as their tokens allow, which no search can better; it is short while a further round
+follows, as open bins are packed again there. Bins that stay short of full are opened again, and their pieces of all blocks are
 dealt anew, round after round, until one block holds them all. Where a round closes under a tenth of its pieces (their sizes hardly
 fill a sequence), only the least-filled eighth of each block's open bins, one at least, is opened again and the others are done: few pieces
 are left soon, and the badly filled bins of all blocks meet in one.
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import MEMO_MAX, checkpointed, map_arrow, table
 
-CAP, BLOCK, ISLANDS, FULL = 2048, 4096, 2, 0.998
+CAP, BLOCK, ISLANDS, MIGRATIONS, FULL = 2048, 4096, 2, 2, 0.998
+SHORT, LONG = {"population": 4, "generations": 6}, {"population": 10, "generations": 120}
 #: White space that is no ASCII white space, and the separators on which notions of white space differ.
 _ODD = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _APART = re.compile("[\x1c-\x1f]")
@@ -185,15 +189,20 @@ def best_fit(sizes: list[int], order: Iterable[int], cap: int, bins: list[list[i
     return bins
 
 
+def _loads(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    return [sum([sizes[i] for i in b]) for b in bins]
+
+
 def _fitness(bins: list[list[int]], sizes: list[int], cap: int) -> tuple[int, float]:
     """Less is better."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / cap) ** 2 for b in bins)
+    return len(bins), -sum((x / cap) ** 2 for x in _loads(bins, sizes))
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], cap: int, rng: np.random.Generator) -> list[list[int]]:
     """b's well-filled bins, a share of them, injected into a."""
-    full = [x for x in b if sum(sizes[i] for i in x) >= 0.99 * cap]
-    take = [full[k] for k in rng.permutation(len(full))[: max(1, len(full) // 3)]] if full else []
+    load = np.array(_loads(b, sizes))
+    full = np.flatnonzero(load >= min(0.99 * cap, np.quantile(load, 0.5)))
+    take = [b[k] for k in rng.permutation(full)[: max(1, len(full) // 3)]]
     inside = {i for x in take for i in x}
     kept, displaced = [], []
     for x in a:
@@ -201,23 +210,50 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], cap: int
             kept.append(x)
         else:
             displaced.extend(i for i in x if i not in inside)
-    weak = sorted(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))[: max(1, len(kept) // 20)]  # mutation: the emptiest are opened
-    for k in weak:
+    weak = np.argsort(_loads(kept, sizes), kind="stable")[: max(1, len(kept) // 20)].tolist()  # mutation: the emptiest are opened, and one by chance
+    gone = {*weak, int(rng.integers(len(kept)))} if kept else set()
+    for k in gone:
         displaced.extend(kept[k])
-    gone = set(weak)
-    kept = [x for k, x in enumerate(kept) if k not in gone]
+    kept = [list(x) for k, x in enumerate(kept) if k not in gone]
+    displaced = _fuller(kept, displaced, sizes, cap)
     return best_fit(sizes, sorted(displaced, key=lambda i: (-sizes[i], i)), cap, take + kept)
 
 
-def evolve(sizes: list[int], cap: int, seed: int, start: list[list[list[int]]] | None = None, population: int = 4, generations: int = 6) -> list[list[int]]:
-    """The best solution that an island finds, from the given ones or from best fit."""
+def _fuller(bins: list[list[int]], displaced: list[int], sizes: list[int], cap: int) -> list[int]:
+    """Swaps in place: a displaced piece for a shorter one, or two, of a bin that it fills better; what is displaced then is shorter and fits more easily."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for b in bins:
+        room = cap - sum([sizes[i] for i in b])
+        if not room or not free:
+            continue
+        best, pick = 0, None
+        for out in [(i,) for i in b] + (list(combinations(b, 2)) if len(b) <= 6 else []):
+            own = sum([sizes[i] for i in out])
+            k = bisect_right(free, (own + room, 1 << 62)) - 1
+            if k >= 0 and free[k][0] - own > best:
+                best, pick = free[k][0] - own, (k, out)
+        if pick:
+            b.append(free.pop(pick[0])[1])
+            for i in pick[1]:
+                b.remove(i)
+                insort(free, (sizes[i], i))
+    return [i for _, i in free]
+
+
+def decreasing(sizes: list[int], cap: int) -> list[list[int]]:
+    """Best fit of the pieces from the longest on."""
+    return best_fit(sizes, np.argsort(-np.array(sizes), kind="stable").tolist(), cap)
+
+
+def evolve(sizes: list[int], cap: int, seed: int, start: list[list[list[int]]] | None = None, population: int = 10, generations: int = 120) -> list[list[int]]:
+    """The best solution that an island finds, from the given ones or from best fit; it ends early only with as few bins as the tokens allow."""
     if not sizes:
         return []
     rng, least = np.random.default_rng(seed), -(-sum(sizes) // cap)
     big = np.array(sizes, "f8")
-    pool = list(start or [best_fit(sizes, np.lexsort((np.arange(len(sizes)), -big)).tolist(), cap)])
+    pool = list(start or [decreasing(sizes, cap)])
     while len(pool) < population and min(map(len, pool)) > least:
-        pool.append(best_fit(sizes, np.argsort(-big * rng.uniform(0.97, 1.03, len(big)), kind="stable").tolist(), cap))
+        pool.append(best_fit(sizes, np.argsort(-big * rng.uniform(0.9, 1.1, len(big)), kind="stable").tolist(), cap))
     score = [_fitness(x, sizes, cap) for x in pool]
     for _ in range(generations):
         best = min(score)
@@ -228,16 +264,14 @@ def evolve(sizes: list[int], cap: int, seed: int, start: list[list[list[int]]] |
             i, j = j, i
         child = crossover(pool[j], pool[i], sizes, cap, rng)
         worst = max(range(len(pool)), key=lambda k: score[k])
-        if (own := _fitness(child, sizes, cap)) < score[worst]:
+        own = _fitness(child, sizes, cap)
+        if own < score[worst] and own not in score:
             pool[worst], score[worst] = child, own
     return pool[min(range(len(pool)), key=lambda k: score[k])]
 
 
-def _ordered(t: pa.Table) -> pa.Table:
-    return t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-
-
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_ORDER = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")]]
 
 
 def _labels(bins: list[list[int]], n: int) -> pa.Array:
@@ -247,41 +281,57 @@ def _labels(bins: list[list[int]], n: int) -> pa.Array:
     return pa.array(out)
 
 
-def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: int) -> DataFrame:
+def _seed(*x: int) -> int:
+    return zlib.crc32(repr(x).encode())
+
+
+def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: int, migrations: int, effort: dict[str, int]) -> DataFrame:
     """Open pieces with block, bin, offset, load, by the block's best island."""
     names = [x.split()[0] for x in _ITEM.split(", ")]
     # rand() draws alike again if a task is repeated: its rows are a checkpoint's, in fixed partitions
     key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.rand(salt) if n_blocks > 1 else F.lit(salt)), F.lit(n_blocks))
     dealt = open_items.select(key.cast("int").alias("block"), *names)
     dealt = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *names)
+    schema = f"block int, island int, source int, {_ITEM}, bin int"
 
-    def first(key, t):
-        block, island = (x.as_py() for x in key)
-        t = _ordered(t)
-        bins = evolve(t["length"].to_pylist(), cap, hash((salt, block, island)) & 0xFFFFFFFF)
-        t = t.select(names).append_column("bin", _labels(bins, t.num_rows))
-        out = [t.add_column(0, "source", pa.array([island] * t.num_rows, pa.int32())).add_column(0, "island", pa.array([to] * t.num_rows, pa.int32())) for to in {island, (island + 1) % islands}]
-        return pa.concat_tables(out).add_column(0, "block", pa.array([block] * len(out) * t.num_rows, pa.int32()))
+    def sent(block: int, island: int, t: pa.Table, bins: list[list[int]], to: set[int]) -> pa.Table:
+        """The island's solution, for each island that it goes to."""
+        n = t.num_rows
+        t = t.append_column("bin", _labels(bins, n))
+        each = [t.add_column(0, "source", pa.array([island] * n, pa.int32())).add_column(0, "island", pa.array([k] * n, pa.int32())) for k in sorted(to)]
+        return pa.concat_tables(each).add_column(0, "block", pa.array([block] * n * len(each), pa.int32()))
 
-    def second(key, t):
+    def first(key, t):
         block, island = (x.as_py() for x in key)
-        sources = sorted(set(t["source"].to_pylist()))
-        parts = [_ordered(t.filter(pc.equal(t["source"], s))) for s in sources]
-        sizes, start = parts[0]["length"].to_pylist(), []
-        for p in parts:  # each source holds the same pieces in the same order
-            bins: dict[int, list[int]] = {}
-            for i, k in enumerate(p["bin"].to_pylist()):
-                bins.setdefault(k, []).append(i)
-            start.append(list(bins.values()))
-        bins = evolve(sizes, cap, hash((salt, block, island, "on")) & 0xFFFFFFFF, start)
-        own, n = parts[0].select(names), len(sizes)
-        fit = _fitness(bins, sizes, cap)
-        cols = [own["doc_id"], own["piece"], own["start"], own["length"], own["ids_crc32"], _labels(bins, n), pa.array([len(bins)] * n, pa.int32()), pa.array([fit[1]] * n, pa.float64())]
-        return pa.table([pa.array([block] * n, pa.int32()), pa.array([island] * n, pa.int32()), *cols], ["block", "island", *names, "bin", "n_bins", "fill"])
+        t = t.select(names).sort_by(_ORDER)
+        sizes = t["length"].to_pylist()
+        bins = decreasing(sizes, cap)
+        if len(bins) * cap - sum(sizes) < cap:  # as few as the tokens allow: nothing to breed, and one island is enough
+            return sent(block, island, t if island == 0 else t.slice(0, 0), bins if island == 0 else [], {island})
+        bins = evolve(sizes, cap, _seed(salt, block, island), [bins], **effort)
+        return sent(block, island, t, bins, {island, (island + 1) % islands})
+
+    def onward(leg: int):
+        def run(key, t):
+            block, island = (x.as_py() for x in key)
+            sources = sorted(set(t["source"].to_pylist()))
+            parts = [t.filter(pc.equal(t["source"], s)).sort_by(_ORDER) for s in sources]
+            start = []
+            for p in parts:  # each source holds the same pieces in the same order
+                bins: dict[int, list[int]] = {}
+                for i, k in enumerate(p["bin"].to_pylist()):
+                    bins.setdefault(k, []).append(i)
+                start.append(list(bins.values()))
+            own = parts[0].select(names)
+            best = evolve(own["length"].to_pylist(), cap, _seed(salt, block, island, leg), start, **effort) if len(start) > 1 else start[0]
+            return sent(block, island, own, best, {island, (island + 1) % islands} if leg < migrations and len(start) > 1 else {island})
+
+        return run
 
     def choose(t):
-        t = t.sort_by([("n_bins", "ascending"), ("fill", "ascending"), ("island", "ascending")])
-        t = t.filter(pc.equal(t["island"], t["island"][0])).sort_by([("bin", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        one = [t.filter(pc.equal(t["island"], k)) for k in sorted(set(t["island"].to_pylist()))]
+        score = [(len(s := np.bincount(x["bin"].to_numpy(), x["length"].to_numpy())), -float((s * s).sum())) for x in one]
+        t = one[score.index(min(score))].sort_by([(c, "ascending") for c in ("bin", "doc_id", "piece", "start")])
         b, size = t["bin"].to_numpy(), t["length"].to_numpy()
         head = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         total = np.cumsum(size) - size
@@ -289,12 +339,13 @@ def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: i
         n = np.diff(np.r_[head, len(b)])
         return t.select(["block", *names, "bin"]).append_column("offset", pa.array(total - np.repeat(total[head], n))).append_column("load", pa.array(np.repeat(load, n)))
 
-    one = dealt.groupBy("block", "island").applyInArrow(first, f"block int, island int, source int, {_ITEM}, bin int")
-    two = one.groupBy("block", "island").applyInArrow(second, f"block int, island int, {_ITEM}, bin int, n_bins int, fill double")
-    return two.groupBy("block").applyInArrow(choose, f"block int, {_ITEM}, bin int, offset long, load long")
+    out = dealt.groupBy("block", "island").applyInArrow(first, schema)
+    for leg in range(1, migrations + 1):
+        out = out.groupBy("block", "island").applyInArrow(onward(leg), schema)
+    return out.groupBy("block").applyInArrow(choose, f"block int, {_ITEM}, bin int, offset long, load long")
 
 
-def pack(pieces: DataFrame, cap: int = CAP, block: int = BLOCK, islands: int = ISLANDS, full: float = FULL) -> DataFrame:
+def pack(pieces: DataFrame, cap: int = CAP, block: int = BLOCK, islands: int = ISLANDS, migrations: int = MIGRATIONS, full: float = FULL) -> DataFrame:
     """pieces with sequence_id and offset."""
     pieces = checkpointed(pieces)
     names = pieces.columns
@@ -306,14 +357,16 @@ def pack(pieces: DataFrame, cap: int = CAP, block: int = BLOCK, islands: int = I
             break
         n_blocks = -(-n // block)
         salt += 1
-        got = checkpointed(_round(rest, n_blocks, salt, cap, islands))
+        # bins that stay open are dealt anew, so that a short search is enough while there is a further round
+        got = checkpointed(_round(rest, n_blocks, salt, cap, islands, *((1, SHORT) if n_blocks > 1 else (migrations, LONG))))
         seq = (-F.lit(1).cast("long") - F.lit(salt << 56) - F.call_function("shiftleft", F.col("block").cast("long"), F.lit(24)) - F.col("bin")).alias("sequence_id")
         if n_blocks == 1:
             done.append(got.select(*names, seq, "offset"))
             break
         closed = F.col("load") >= full * cap
         left = got.where(~closed).count()
-        if left > 0.9 * n or salt > 40:  # hardly any bin came full: dealing them all anew gains nothing
+        if left > 0.9 * n or salt > 40:  # hardly any bin came full: dealing them all anew gains nothing, and most bins stay as they are
+            got = checkpointed(_round(rest, n_blocks, salt, cap, islands, migrations, LONG))
             bins = got.where(~closed).select("block", "bin", "load").distinct()
             worst = F.row_number().over(Window.partitionBy("block").orderBy("load", "bin")) <= F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("block")) / 8))
             worst = bins.select(F.col("block").alias("__b"), F.col("bin").alias("__n"), worst.alias("__open"))
