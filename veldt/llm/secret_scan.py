@@ -3,8 +3,8 @@
 The field tags tokens as secret begin, inside or outside. A token's scores come from its shape (character classes in runs,
 length, mix and entropy of characters), from the two tokens before it and the one after, and from features of the file
 (share of digits and of assignment signs, lines). It is trained here, by stochastic gradient descent on the forward-backward
-likelihood, in numpy, on windows of at most max_train documents (a documented bound; the documents of least hash among
-those that a coarse search finds, and as many of all); the labels are the spans of the fixed patterns, whose keywords are hidden
+likelihood, in numpy, on windows of at most max_train texts out of about max_seen, those of least hash (documented bounds, as is
+that of windows a text); only windows reach the driver. The labels are the spans of the fixed patterns, whose keywords are hidden
 in part of the windows, so that shape alone has to do.
 
 Decoding is Viterbi's, exactly, over all tokens of the whole text. A token whose outside score leads by more than transitions
@@ -12,16 +12,15 @@ could ever make up is outside on the best path, whatever its neighbours are; bet
 dynamic programming, unless no token there makes up for what transitions cost. Scores of words are kept per worker, up to a fixed number of words.
 
 Defined cases: a null or empty text has no spans; spans of one kind don't overlap, those of different kinds may; added spans
-(kind crf) keep clear of all base spans; repeated rows get equal results; very long runs are one token, whose features count all of it.
+(kind crf) keep clear of all base spans; repeated rows get equal results; very long runs are one token, whose features, as a neighbour's too,
+count all of it; an empty table trains a field that tags nothing; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "api")
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]+")
-TAGS, BUCKETS, CONTEXT, MAX_TRAIN, MEMO = 3, 1 << 14, 8, 1500, 250_000  # outside, begin, inside
+TAGS, BUCKETS, CONTEXT = 3, 1 << 14, 8  # outside, begin, inside
+#: Texts to train on, texts to choose them from, and features of a token.
+MAX_TRAIN, MAX_SEEN, WIDE = 1500, 20_000, 16
+#: Words remembered, new words learned and tokens scored at once, and characters scanned at once (or one text).
+MEMO, LEARN, PART, CHARS = 300_000, 50_000, 200_000, 2_000_000
 Span = tuple[str, int, int]
 
 
@@ -56,69 +59,70 @@ def _bucket(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}={value}".encode()) % BUCKETS
 
 
-class _Classes(dict):
-    """For str.translate: letters to a or A, digits to 9, all else as it is."""
-
-    def __missing__(self, c: int) -> str:
-        x = chr(c)
-        self[c] = out = "9" if "0" <= x <= "9" else "A" if "A" <= x <= "Z" else "a" if x.isalpha() else x
-        return out
-
-
-_CLASSES = _Classes()
-_DIGITS, _UPPER, _LOWER, _HEX = map(frozenset, ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"))
-_RUN = re.compile(r"(.)\1+", re.S)
-_BITS: dict[tuple, int] = {}  # half bits of entropy by sorted counts
-_SHAPES: dict[str, str] = {}
-OwnKey = tuple[str, int, str, int, bool, bool]
-
-
-def _runs(x: str) -> str:
-    """Runs as one sign each; of many runs only which classes there are."""
-    x = _RUN.sub(r"\1", x)
-    return x if len(x) <= 6 else "".join(sorted(set(x)))[:12] + "+"
-
-
-def _shape(w: str) -> str:
-    x = w.translate(_CLASSES)
-    if x not in _SHAPES:
-        if len(x) > 64:
-            return _runs(x)
-        if len(_SHAPES) > 50_000:
-            _SHAPES.clear()
-        _SHAPES[x] = _runs(x)
-    return _SHAPES[x]
-
-
-def own_key(w: str) -> OwnKey:
-    """Shape, length, mix of classes, entropy, whether all is hex, whether it starts like an access key."""
-    n, c = len(w), set(w)
-    counts = tuple(sorted(map(w.count, c) if len(c) < 128 else Counter(w).values()))
-    bits = _BITS.get(counts)
-    if bits is None:
-        if len(_BITS) > 50_000:
-            _BITS.clear()
-        bits = _BITS[counts] = int(-2 * sum(v / n * math.log2(v / n) for v in counts))
-    mix = "01"[not c.isdisjoint(_DIGITS)] + "01"[not c.isdisjoint(_UPPER)] + "01"[not c.isdisjoint(_LOWER)]
-    return _shape(w), min(12, n.bit_length() * 2 + (n * 2 >> n.bit_length() & 1)), mix, bits, c <= _HEX, w.startswith("AKIA")
+class _Signs:
+    """By code point, made at first use: the sign of its class (a for letters, A for A-Z, 9 for digits, else itself), and flags: 1 digit, 2 A-Z, 4 a-z, 8 not of [0-9a-f]."""
+
+    def __init__(self) -> None:
+        n = 0x110000
+        self.sign = np.arange(n, dtype="u4")
+        letters = np.char.isalpha(np.arange(n, dtype="u4").view("U1"))
+        self.sign[letters] = ord("a")
+        self.flag = np.full(n, 8, "u1")
+        self.flag[48:58], self.flag[65:91], self.flag[97:123] = 1, 2 | 8, 4 | 8
+        self.flag[97:103] = 4
+        self.sign[48:58], self.sign[65:91] = ord("9"), ord("A")
+
+
+_SIGNS: list[_Signs] = []
+OwnKey = tuple[str, int]
+
+
+def own_keys(words: list[str]) -> list[OwnKey]:
+    """For each word (none is empty), over all of it: its shape, that is its runs of one class as one sign each, or of many runs only which signs there are, and a
+    number that holds length, mix of classes, entropy, whether all is hex, and whether it starts like an access key."""
+    if not _SIGNS:
+        _SIGNS.append(_Signs())
+    signs, flat = _SIGNS[0], np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    n = np.fromiter(map(len, words), "i8", len(words))
+    head = np.cumsum(n) - n
+    sign = signs.sign[flat]
+    new = np.r_[True, sign[1:] != sign[:-1]]
+    new[head] = True
+    runs = np.add.reduceat(new, head, dtype="i8")
+    text = sign[new].astype("<u4").tobytes().decode("utf-32-le")
+    at = np.cumsum(runs) - runs
+    shape = [text[s : s + k] if k <= 6 else "".join(sorted(set(text[s : s + k])))[:12] + "+" for s, k in zip(at.tolist(), runs.tolist(), strict=True)]
+    flags = np.bitwise_or.reduceat(signs.flag[flat], head)
+    size = np.frexp(n.astype("f8"))[1].astype("i8")  # bits of the length
+    size = np.minimum(12, 2 * size + ((2 * n >> size) & 1))
+    # entropy in half bits: sums of c log c over each word's characters, in whole numbers, whatever else is in the batch
+    pairs = np.sort((np.repeat(np.arange(len(words)), n) << 21) | flat)
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    count = np.diff(np.r_[first, len(pairs)])
+    whole = lambda x: np.rint(x * np.log2(x) * (1 << 20)).astype("i8")
+    kinds = np.bincount(pairs[first] >> 21, minlength=len(words))
+    spread = whole(n) - np.add.reduceat(whole(count), np.cumsum(kinds) - kinds)
+    bits = np.minimum(31, (2 * spread + (n << 4)) // (n << 20))
+    access = np.fromiter((w.startswith("AKIA") for w in words), "i8", len(words))
+    code = size | (flags & 7).astype("i8") << 4 | bits << 7 | (flags & 8 == 0).astype("i8") << 12 | access << 13
+    return list(zip(shape, code.tolist(), strict=True))
 
 
 def key_features(key: OwnKey) -> list[int]:
-    shape, size, mix, bits, is_hex, access = key
-    return [_bucket("s", shape), _bucket("n", str(size)), _bucket("m", mix), _bucket("mn", f"{mix}{size}"), _bucket("e", f"{bits}{mix}"), _bucket("h", f"{is_hex}{size}"), _bucket("a", "AKIA" if access else "")]
-
-
-def own_features(w: str) -> list[int]:
-    return key_features(own_key(w))
+    shape, code = key
+    size, mix, bits, is_hex, access = code & 15, code >> 4 & 7, code >> 7 & 31, code >> 12 & 1, code >> 13
+    return [_bucket("s", shape), _bucket("n", str(size)), _bucket("m", str(mix)), _bucket("mn", f"{mix}.{size}"), _bucket("e", f"{bits}.{mix}"), _bucket("h", f"{is_hex}.{size}"), _bucket("a", str(access))]
 
 
 #: A word as its neighbours see it: the token before, the one before that, the next.
 SEEN = ("-1", "-2", "+1")
-_SEEDS = tuple(zlib.crc32(f"{k}=".encode()) for k in SEEN)
+_MUL, _ADD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], "u8"), np.array([0x27D4EB2F, 0x165667B1, 0x2545F491], "u8")
 
 
-def _word(kind: str, w: str) -> list[int]:
-    return [_bucket(kind, w[:40].lower()), _bucket(kind + "s", _shape(w))]
+def seen_words(words: list[str]) -> np.ndarray:
+    """Buckets of words, whatever their case, as each of SEEN."""
+    h = np.fromiter((zlib.crc32(w.lower().encode()) for w in words), "u8", len(words))
+    return ((h[:, None] * _MUL + _ADD) >> np.uint64(18)).astype("i8") % BUCKETS
 
 
 def file_features(text: str, n_tokens: int) -> list[int]:
@@ -132,6 +136,9 @@ class Field:
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
         self.weights, self.trans = weights, trans
+        self._forget()
+
+    def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, 4, TAGS), "f4")  # own, and as each of SEEN
         self.keys: dict[OwnKey, int] = {}
@@ -139,64 +146,73 @@ class Field:
 
     def _key(self, key: OwnKey) -> int:
         """The place in by_key of what words of this key have in common."""
-        k = self.keys.get(key)
-        if k is None:
-            k = self.keys[key] = len(self.keys)
-            if k >= len(self.by_key):
-                self.by_key = np.concatenate([self.by_key, np.zeros_like(self.by_key)])
-            self.by_key[k, 0] = self.weights[key_features(key)].sum(axis=0)
-            for j, kind in enumerate(SEEN, 1):
-                self.by_key[k, j] = self.weights[_bucket(kind + "s", key[0])]
+        k = self.keys[key] = len(self.keys)
+        if k >= len(self.by_key):
+            self.by_key = np.concatenate([self.by_key, np.zeros_like(self.by_key)])
+        self.by_key[k, 0] = self.weights[key_features(key)].sum(axis=0)
+        for j, kind in enumerate(SEEN, 1):
+            self.by_key[k, j] = self.weights[_bucket(kind + "s", key[0])]
         return k
 
     def _learn(self, new: list[str]) -> None:
         """Scores of new words, all at once."""
-        crc, (one, two, after) = zlib.crc32, _SEEDS
-        keys, buckets = [], []
-        for w in new:
-            keys.append(self._key(own_key(w)))
-            low = w[:40].lower().encode()
-            buckets += (crc(low, one), crc(low, two), crc(low, after))
+        known = self.keys
+        keys = [known[x] if x in known else self._key(x) for x in own_keys(new)]
         k, n = len(self.memo), len(new)
         while k + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[k : k + n] = self.by_key[keys]
-        self.rows[k : k + n, 1:] += self.weights[np.array(buckets).reshape(n, 3) % BUCKETS]
+        self.rows[k : k + n, 1:] += self.weights[seen_words(new)]
         self.memo.update(zip(new, range(k, k + n), strict=True))
 
-    def emissions(self, tokens: list[str], text: str) -> np.ndarray:
-        if len(self.memo) + len(tokens) > MEMO + 100_000:
-            self.memo.clear()
-            self.keys.clear()
+    def _places(self, tokens: list[str]) -> np.ndarray:
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if len(self.memo) > MEMO:
+            self._forget()
         memo = self.memo
-        new = [w for w in set(tokens) if w not in memo]
-        if new:
-            self._learn(new)
-        r = self.rows[np.fromiter(map(memo.__getitem__, tokens), "i8", len(tokens))]
-        e = r[:, 0].astype("f8") + self.weights[file_features(text, len(tokens))].sum(axis=0)
-        e[1:] += r[:-1, 1]
-        e[2:] += r[:-2, 2]
-        e[:-1] += r[1:, 3]
+        new = [w for w in own if w not in memo]
+        for s in range(0, len(new), LEARN):
+            self._learn(new[s : s + LEARN])
+        return np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+
+    def emissions(self, tokens: list[list[str]], texts: list[str]) -> np.ndarray:
+        """Scores by tag of the tokens of all texts, one text after the other."""
+        n = np.fromiter(map(len, tokens), "i8", len(tokens))
+        flat = [w for ws in tokens for w in ws]
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)  # within the text
+        file = np.stack([self.weights[file_features(t, len(ws))].sum(axis=0) for t, ws in zip(texts, tokens, strict=True)])
+        e = np.repeat(file, n, axis=0)
+        for s in range(0, len(flat), PART):
+            lo, end, hi = max(0, s - 2), min(len(flat), s + PART), min(len(flat), s + PART + 1)  # two tokens before and one after count too
+            at, k = self._places(flat[lo:hi]), place[lo:hi]
+            r = self.rows[at]
+            x = r[:, 0].astype("f8")
+            x[1:] += r[:-1, 1] * (k[1:, None] >= 1)
+            x[2:] += r[:-2, 2] * (k[2:, None] >= 2)
+            x[:-1] += r[1:, 3] * (k[1:, None] >= 1)
+            e[s:end] += x[s - lo : end - lo]
         return e
 
-    def decode(self, tokens: list[str], text: str) -> np.ndarray:
-        """The best path's tags."""
-        n = len(tokens)
+    def decode(self, tokens: list[list[str]], texts: list[str]) -> np.ndarray:
+        """The best paths' tags, of all texts one after the other."""
+        n = sum(map(len, tokens))
         tags = np.zeros(n, "i1")
         if not n:
             return tags
-        e = self.emissions(tokens, text)
+        e = self.emissions(tokens, texts)
         reach = 2 * float(self.trans.max() - self.trans.min())
         lead = e[:, 1:].max(axis=1) - e[:, 0]
         open_ = np.flatnonzero(lead >= -reach)
         if not len(open_):
             return tags
-        head = np.r_[0, np.flatnonzero(np.diff(open_) > 1) + 1]
+        text = np.repeat(np.arange(len(tokens)), list(map(len, tokens)))
+        head = np.r_[0, np.flatnonzero((np.diff(open_) > 1) | (np.diff(text[open_]) > 0)) + 1]
         other = self.trans.copy()
         other[0, 0] = -np.inf
         gain = float(other.max() - self.trans[0, 0])
-        # a secret of n tokens takes n transitions at least: where those only cost, some token must make up for its own
-        live = np.maximum.reduceat(lead[open_], head) + gain > 0 if gain <= 0 else np.ones(len(head), bool)
+        # a secret of n tokens takes n + 1 transitions, each better than staying outside by gain at most: its leads must make up for what they cost, or nearly for what they give
+        live = np.maximum.reduceat(lead[open_], head) > -gain * (2 if gain > 0 else 1)
         last = open_[np.r_[head[1:], len(open_)] - 1]
         for s, t in zip(open_[head][live].tolist(), (last[live] + 1).tolist(), strict=True):
             best = e[s] + self.trans[0]  # what stands before is outside, or the start
@@ -205,7 +221,7 @@ class Field:
                 step = best[:, None] + self.trans
                 back.append(step.argmax(axis=0))
                 best = step.max(axis=0) + e[i]
-            k = int((best + (self.trans[:, 0] if t < n else 0)).argmax())
+            k = int((best + (self.trans[:, 0] if t < n and text[t] == text[s] else 0)).argmax())
             tags[t - 1] = k
             for i in range(t - 2, s - 1, -1):
                 k = int(back[i - s][k])
@@ -240,34 +256,40 @@ def tag_tokens(text: str, spans: list[Span]) -> tuple[list[str], np.ndarray]:
     return [m.group() for m in found], tags
 
 
-def windows(text: str, rng: np.random.Generator, hide: float = 0.5) -> list[tuple[list[list[int]], np.ndarray]]:
-    """Training windows of 2 * CONTEXT + 1 tokens: around each secret, around the longest other tokens, and by chance."""
+def windows(text: str, seed: int = 1, hide: float = 0.6, secrets: int = 8, plain: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At most secrets + plain training windows of a text, each 2 * CONTEXT + 1 tokens: around secrets drawn by chance, and around other tokens, half of them the longest
+    and half drawn by chance. A window is (features by token, padded with BUCKETS; tags)."""
     tokens, tags = tag_tokens(text, base_spans(text))
     n, size = len(tokens), 2 * CONTEXT + 1
     if n < 4:
         return []
-    plain = np.flatnonzero(tags == 0)
+    rng = np.random.default_rng([seed, zlib.crc32(text.encode())])
+    outside, secret = np.flatnonzero(tags == 0), np.flatnonzero(tags == 1)
     lengths = np.array([len(t) for t in tokens])
-    at = [*np.flatnonzero(tags == 1)[:8], *plain[np.argsort(-lengths[plain], kind="stable")[:2]], *rng.integers(0, n, 2)]
+    at = [*rng.permutation(secret)[:secrets], *outside[np.argsort(-lengths[outside], kind="stable")[: plain // 2]], *rng.integers(0, n, plain - plain // 2)]
     file = file_features(text, n)
     out = []
     for c in at:
         lo = max(0, min(int(c) - CONTEXT, n - size))
-        ids = list(range(lo, min(n, lo + size)))
-        blind = tags[c] and rng.random() < hide
-        rows = []
-        for i in ids:
-            f = own_features(tokens[i]) + file
+        ids = range(lo, min(n, lo + size))
+        blind = tags[ids.start : ids.stop].any() and rng.random() < hide
+        near = tokens[max(0, lo - 2) : lo + size + 1]
+        keys, seen, first = own_keys(near), seen_words(near), max(0, lo - 2)
+        rows = np.full((len(ids), WIDE), BUCKETS, "u2")
+        for a, i in enumerate(ids):
+            f = key_features(keys[i - first]) + file
             if not blind:
-                f = f + (_word("-1", tokens[i - 1]) if i else []) + (_word("-2", tokens[i - 2]) if i > 1 else []) + (_word("+1", tokens[i + 1]) if i + 1 < n else [])
-            rows.append(f)
-        out.append((rows, tags[ids]))
+                for k, (kind, d) in enumerate(zip(SEEN, (-1, -2, 1), strict=True)):
+                    if 0 <= i + d < n:
+                        f = [*f, _bucket(kind + "s", keys[i + d - first][0]), seen[i + d - first, k]]
+            rows[a, : len(f)] = f
+        out.append((rows, tags[ids.start : ids.stop]))
     return out
 
 
-def train(texts: list[str], seed: int = 1, epochs: int = 6, batch: int = 32, rate: float = 0.5, l2: float = 1e-4) -> Field:
+def train(data: list[tuple[np.ndarray, np.ndarray]], seed: int = 1, epochs: int = 6, batch: int = 32, rate: float = 0.5, l2: float = 1e-4) -> Field:
+    """On windows."""
     rng = np.random.default_rng(seed)
-    data = [w for t in texts for w in windows(t or "", rng)]
     weights, trans = np.zeros((BUCKETS, TAGS)), np.zeros((TAGS, TAGS))
     weights[_bucket("f0", ""), 0] = 2.0
     trans[0, 2] = -4.0  # inside doesn't follow outside
@@ -277,14 +299,7 @@ def train(texts: list[str], seed: int = 1, epochs: int = 6, batch: int = 32, rat
     by: dict[int, list] = {}
     for w in data:
         by.setdefault(len(w[1]), []).append(w)
-    wide = max(len(f) for rows, _ in data for f in rows)
-    sets = []
-    for n, ws in by.items():
-        f = np.full((len(ws), n, wide), BUCKETS, "i4")
-        for a, (rows, _) in enumerate(ws):
-            for b, r in enumerate(rows):
-                f[a, b, : len(r)] = r
-        sets.append((f, np.stack([t for _, t in ws]).astype("i8")))
+    sets = [(np.stack([f for f, _ in ws]).astype("i4"), np.stack([t for _, t in ws]).astype("i8")) for ws in by.values()]
     w = np.concatenate([weights, np.zeros((1, TAGS))])
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -312,68 +327,89 @@ def train(texts: list[str], seed: int = 1, epochs: int = 6, batch: int = 32, rat
                     t -= np.exp(q).sum(axis=0)
                     np.add.at(t, (yy[:, i - 1], yy[:, i]), 1)
                 trans += step / m * t
-                np.add.at(w, ff.reshape(-1), np.repeat(step / m * g.reshape(-1, TAGS), wide, axis=0))
+                np.add.at(w, ff.reshape(-1), np.repeat(step / m * g.reshape(-1, TAGS), WIDE, axis=0))
                 w[BUCKETS] = 0
         w *= 1 - l2
     return Field(w[:-1], trans)
 
 
-def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
-    tokens = TOKEN.findall(text)
-    tags = field.decode(tokens, text)
+def added_spans(text: str, base: list[Span], tags: np.ndarray) -> list[Span]:
+    """The field's spans that keep clear of the base spans."""
     if not tags.any():
         return []
     found = [m.span() for m in TOKEN.finditer(text)]
-    out, i = [], 0
-    while i < len(tags):
-        if tags[i]:
-            j = i + 1
-            while j < len(tags) and tags[j] == 2:
-                j += 1
-            out.append(("crf", found[i][0], found[j - 1][1]))
-            i = j
-        else:
-            i += 1
-    ends = sorted(base, key=lambda s: s[1])
-    return [s for s in out if not any(b[1] < s[2] and s[1] < b[2] for b in ends)]
-
-
-def scan(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    return base, sorted(base + added_spans(text, base, field), key=lambda s: (s[1], KINDS.index(s[0])))
-
-
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
-    """Trained on at most max_train documents: half of those with a likely secret, half of all, by least hash."""
-    likely = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
+    begin = np.flatnonzero((tags == 1) | ((tags == 2) & (np.r_[0, tags[:-1]] == 0)))
+    out = []
+    for i in begin.tolist():
+        j = i + 1
+        while j < len(tags) and tags[j] == 2:
+            j += 1
+        out.append(("crf", found[i][0], found[j - 1][1]))
+    if not base:
+        return out
+    # of base spans by start, the furthest end so far tells whether any of them reaches into a span
+    starts = np.array([b[1] for b in base])
+    reach = np.maximum.accumulate([b[2] for b in base])
+    before = np.searchsorted(starts, [s[2] for s in out])  # base spans that start before the span's end
+    return [s for s, k in zip(out, before.tolist(), strict=True) if not k or reach[k - 1] <= s[1]]
+
+
+def scan(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each text its base spans, and all its spans."""
+    out, group, size = [], [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= CHARS:
+            out += _scan(group, field)
+            group, size = [], 0
+    return out + (_scan(group, field) if group else [])
+
+
+def _scan(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    tokens = [TOKEN.findall(t) for t in texts]
+    tags, at, out = field.decode(tokens, texts), 0, []
+    for text, own in zip(texts, tokens, strict=True):
+        base = base_spans(text)
+        out.append((base, sorted(base + added_spans(text, base, tags[at : at + len(own)]), key=lambda s: (s[1], KINDS.index(s[0])))))
+        at += len(own)
+    return out
+
+
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_seen: int = MAX_SEEN) -> Field:
+    """Trained on at most max_train distinct texts, the most of them with secrets, of the max_seen or so of least hash; only their windows reach the driver."""
     part = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
-    some = [r["h"] for r in part.where(F.col("text").rlike(likely)).select("h").orderBy("h").limit(max_train // 2).collect()]
-    rest = [r["h"] for r in part.select("h").orderBy("h").limit(max_train // 2).collect()]
-    texts = part.where(F.col("h").isin(sorted({*some, *rest}))).dropDuplicates(["h"]).select("h", "text")
-    rows = texts.orderBy("h").limit(max_train).collect()
-    return train([r["text"] for r in rows])
+    n = docs.count()
+    least = F.lit(-(1 << 63) + min((1 << 64) - 1, (max_seen << 64) // max(1, n)))  # hashes are even over their range
+    seen = part.where(F.col("h") <= least)
+    marked = map_arrow(seen, lambda b: {"h": b.column("h"), "secret": [bool(base_spans(t)) for t in b.column("text").to_pylist()]}, "h long, secret boolean").distinct()
+    by_hash = sorted((r["h"], r["secret"]) for r in marked.collect())
+    some = [h for h, secret in by_hash if secret][: max_train // 2]
+    chosen = sorted({*some, *[h for h, _ in by_hash][: max_train - len(some)]})[:max_train]
+    if not chosen:
+        return train([])
+
+    def fn(b: pa.RecordBatch) -> dict:
+        each = [windows(t) for t in b.column("text").to_pylist()]
+        return {"h": b.column("h"), "rows": pa.array([[f.tobytes() for f, _ in x] for x in each], pa.list_(pa.binary())), "tags": pa.array([[t.tobytes() for _, t in x] for x in each], pa.list_(pa.binary()))}
+
+    got = map_arrow(part.where(F.col("h").isin(chosen)), fn, "h long, rows array<binary>, tags array<binary>").groupBy("h").agg(F.first(F.struct("rows", "tags")).alias("w"))
+    rows = sorted(got.collect(), key=lambda r: r["h"])
+    return train([(np.frombuffer(f, "u2").reshape(-1, WIDE), np.frombuffer(t, "i1")) for r in rows for f, t in zip(r["w"]["rows"], r["w"]["tags"], strict=True)])
 
 
 def scan_documents(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.trans))
     own: list[Field] = []
-    join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    join = lambda spans: ",".join([f"{k}:{s}:{e}" for k, s, e in spans])
 
     def fn(b: pa.RecordBatch) -> dict:
         if not own:
             own.append(Field(*shared.value))
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for t in b.column("text").to_pylist():
-            base, spans = scan(t, own[0])
-            for k in ("assign", "access", "hex"):
-                out[f"n_{k}"].append(sum(s[0] == k for s in base))
-            out["base_sha256"].append(hashlib.sha256(join(base).encode()).hexdigest())
-            out["spans"].append(join(spans))
-        return {"doc_id": b.column("doc_id")} | out
+        got = scan(b.column("text").to_pylist(), own[0])
+        counts = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in got] for k in KINDS[:3]}
+        return {"doc_id": b.column("doc_id"), "base_sha256": [hashlib.sha256(join(x).encode()).hexdigest() for x, _ in got], "spans": [join(x) for _, x in got]} | counts
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
