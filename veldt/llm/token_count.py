@@ -1,22 +1,29 @@
-"""Token counts without tokens: a count-only Viterbi over a unigram vocabulary.
-
-Words (runs without white space, each with the word mark before it) are segmented into the pieces of highest total score. An
-Aho-Corasick automaton enumerates the pieces that end at each place, longest first; dynamic programming carries only the best
-score and the number of pieces to each place. The rules are those of the public unigram tokenizers: scores add up from the
-left, a later candidate must be strictly better (so ties go to the longest last piece), a character that no one-character
-piece covers may be unknown at the lowest score less 10, and an unknown character counts as its UTF-8 bytes (byte fallback).
-Pieces and scores are read from a public SentencePiece file, whose path is a parameter; nothing is trained.
-
-Words are counted once per worker and remembered up to a fixed number of words; longer words than 64 characters are counted
-each time, in time and memory proportional to their length.
-
-Defined cases: a null or empty text has 0 words and 0 tokens; repeated rows count alike; a null doc_id stays null.
+"""Token counts without tokens: a count-only Viterbi over a unigram vocabulary, of whole texts.
+
+The tokenizer is a unigram one without a pre-tokenizer: a text gets a word mark in front, spaces become word marks, and the whole, with its line ends
+and runs of spaces, is segmented into the pieces of highest total score. An Aho-Corasick automaton enumerates the pieces that end at each place,
+longest first; dynamic programming carries only the best score and the number of pieces to each place. The rules are those of the public unigram
+tokenizers: scores add up from the left, a later candidate must be strictly better (so ties go to the longest last piece), a character that no
+one-character piece covers may be unknown at the lowest score less 10, and an unknown character counts as its UTF-8 bytes (byte fallback).
+Pieces and scores are read from a public SentencePiece file, whose path is a parameter; nothing is trained. (The file at hand holds a BPE vocabulary, whose
+scores are ranks: they are taken as scores of a unigram tokenizer, so that counts are those of this one and not of the file's own merges.)
+
+No piece holds a mark behind another character, so that no piece crosses the place before a run of marks, and the best segmentation is that of
+the stretches between these places; line ends, which no piece holds, part stretches too. Arrow cuts and tells apart the stretches of a batch; each is
+counted once a worker and remembered up to a fixed number of stretches. A vocabulary for which this doesn't hold is refused. Scores must be whole
+numbers or such that sums are exact for ties to be those of the whole text's sums.
+
+Defined cases: a null or empty text has 0 words and 0 tokens; a mark in a text is a space; a stretch without spaces or line ends of any length is one,
+in time and memory proportional to it; repeated rows count alike; a null doc_id stays null; an empty table gives no rows; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import MEMO_MAX, map_arrow, table
 
 MARK, PENALTY = "▁", 10.0
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -34,12 +42,14 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 class Counter:
     def __init__(self, pieces: list[tuple[str, float]]):
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p, _ in pieces):
+            raise ValueError("a piece crosses the places at which texts are cut")
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[str, int] = {}
 
     def pieces(self, text: str) -> int:
         """Pieces of the best segmentation of text, taken as it is."""
@@ -71,22 +81,22 @@ class Counter:
             settle(at)
         return count[n]
 
-    def word(self, w: bytes) -> int:
-        c = self.memo.get(w)
-        if c is None:
-            c = self.pieces(MARK + w.decode())
-            if len(w) <= 64:
-                if len(self.memo) >= MEMO_MAX:
-                    self.memo.clear()
-                self.memo[w] = c
-        return c
-
-    def text(self, text: str | None) -> tuple[int, int]:
-        words = (text or "").encode().split()
-        try:
-            return len(words), sum(map(self.memo.__getitem__, words))
-        except KeyError:
-            return len(words), sum(map(self.word, words))
+    def texts(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """Tokens of each whole text."""
+        t = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        full = pc.if_else(pc.equal(pc.binary_length(t), 0), "", pc.binary_join_element_wise(MARK, pc.replace_substring(t, " ", MARK), ""))
+        cut = pc.split_pattern(pc.replace_substring_regex(full, f"({MARK}+)", "\n\\1"), "\n")
+        ends = cut.offsets.to_numpy()
+        coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        if len(self.memo) > MEMO_MAX:
+            self.memo.clear()
+        own, memo = coded.dictionary.to_pylist(), self.memo
+        for w in own:
+            if w not in memo:
+                memo[w] = self.pieces(w)
+        count = np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+        upto = np.r_[0, np.cumsum(count)][ends - ends[0]]
+        return np.diff(upto) + pc.count_substring(t, "\n").to_numpy()  # a line end is unknown, and one byte
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -98,8 +108,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def fn(b: pa.RecordBatch) -> dict:
         if path not in _COUNTERS:
             _COUNTERS[path] = Counter(vocabulary(path))
-        rows = [_COUNTERS[path].text(t) for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "n_words": [r[0] for r in rows], "n_tokens": [r[1] for r in rows]}
+        t = b.column("text")
+        n_words = pc.fill_null(pc.count_substring_regex(t, _WORD), 0).cast(pa.int64())
+        return {"doc_id": b.column("doc_id"), "n_words": n_words, "n_tokens": _COUNTERS[path].texts(t)}
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, n_words long, n_tokens long")
 
