@@ -1,110 +1,73 @@
 """Line dedup: lines that many documents share stay in the smallest doc_id only.
 
-Normalised lines are exploded to 128-bit hashes (one row per document and line), documents are counted per hash with
-partial aggregation, and the hashes over the threshold go back to their documents, which are reassembled by position.
-Texts are shuffled once, for that last step; lines themselves never are.
-
-Defined cases: a null or empty text is one empty line; a row without doc_id passes unchanged and its lines count nowhere;
-rows that share a doc_id count as one document and each loses its lines; other columns pass through, whatever their names.
+Normalised lines are exploded with their positions and hashed to 128 bits, once; that table, of a few bytes a line, is kept. Distinct documents
+are counted per hash, with partial aggregation; lines whose hash is over the threshold go back to their documents as bits by position; and each
+text is reassembled from the positions that are left. Texts are shuffled once, for that last step, and never sorted, as they stream past the
+bits; lines themselves are never shuffled. A very frequent line is a hot key of short rows, which adaptive execution splits.
+
+Defined cases: a null or empty text is one empty line (a null text stays null); a row without doc_id passes unchanged and its lines count nowhere;
+rows that share a doc_id count as one document and each loses its lines; an empty table gives no rows; other columns pass through, whatever
+their names, but for n_lines and n_dropped where counts are asked for.
 """
 
 from __future__ import annotations
 
-from itertools import compress
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, free_name, map_arrow, small_batches, table
-
-_WS = b" \t\n\x0b\x0c\r"
-
+from .common import SPACE, apart, ascii_lower, free_name, stored, table
 
-def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
-    """For each line its 16-byte key, None for lines too short to count."""
-    out: list[bytes | None] = []
-    for line in (text or "").encode().split(b"\n"):
-        k = line.strip(_WS)
-        n = len(k)
-        if n < min_chars or (n < 4 * min_chars and not k.isascii() and len(k.decode()) < min_chars):
-            out.append(None)
-        else:
-            out.append(xxhash.xxh3_128_digest(k.translate(ASCII_LOWER)))
-    return out
+_BITS = 64
 
 
-def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, h1, h2): the distinct line keys of each document."""
+def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """(doc_id, th, pos, h1, h2): each line's place and key, without lines too short to count; th is a hash of the text, which tells rows of one doc_id apart."""
+    lines = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "th", "pos", ascii_lower(F.trim(F.col("line"), F.lit(SPACE))).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
-    def fn(b: pa.RecordBatch) -> dict:
-        ids, n, keys = b.column("doc_id").to_numpy(zero_copy_only=False), [], []
-        for t in b.column("text").to_pylist():
-            own = set(line_keys(t, min_chars))
-            own.discard(None)
-            n.append(len(own))
-            keys.extend(own)
-        h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        return {"doc_id": np.repeat(ids.astype("i8"), n), "h1": h[:, 0].copy(), "h2": h[:, 1].copy()}
 
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, h1 long, h2 long")
-
-
-def shared_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
+def shared_lines(lines: DataFrame, min_docs: int = 2) -> DataFrame:
     """(h1, h2, keeper): keys found in min_docs documents or more, and the document that keeps them."""
-    rows = line_hashes(docs, min_chars)
-    if min_docs > 2:  # rows may share a doc_id
-        rows = rows.distinct()
-    g = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs"))
-    return g.where((F.col("keeper") < F.col("last")) & (F.col("n_docs") >= min_docs)).select("h1", "h2", "keeper")
+    g = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count_distinct("doc_id").alias("n_docs"))
+    return g.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
 
-def lines_to_drop(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
-    """(doc_id, drop): for each document that loses lines, the keys of those lines, 16 bytes each."""
-    rows = line_hashes(docs, min_chars)
+def lines_to_drop(lines: DataFrame, min_docs: int = 2) -> DataFrame:
+    """(doc_id, th, drop): for each document that loses lines, their positions as bits, 64 to a word."""
     lost = (
-        rows.select("doc_id", "h1", "h2", *apart("h1", "h2"))
-        .join(shared_lines(docs, min_docs, min_chars).select("keeper", *apart("h1", "h2")), ["__k0", "__k1"])
+        lines.select("doc_id", "th", "pos", *apart("h1", "h2"))
+        .join(shared_lines(lines, min_docs).select("keeper", *apart("h1", "h2")), ["__k0", "__k1"])
         .where(F.col("doc_id") > F.col("keeper"))
     )
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % _BITS)
+    lost = lost.select("doc_id", "th", F.floor(F.col("pos") / _BITS).cast("int").alias("w"), bit.alias("bit")).repartition("doc_id", "th")
+    words = lost.groupBy("doc_id", "th", "w").agg(F.bit_or("bit").alias("bits"))
+    of = words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    return of.select("doc_id", "th", dense.alias("drop"))
+
+
+def _stays(drop: Column, pos: Column) -> Column:
+    word = F.coalesce(F.get(drop, F.floor(pos / _BITS).cast("int")), F.lit(0).cast("long"))
+    return F.call_function("shiftright", word, pos % _BITS).bitwiseAND(F.lit(1).cast("long")) == 0
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, counts: bool = True) -> DataFrame:
     """docs with text without its dropped lines and, if asked for, n_lines and n_dropped in place of columns of these names."""
-    id_, lost = free_name(docs, "__doc"), free_name(docs, "__drop")
-    drop = lines_to_drop(docs, min_docs, min_chars).select(F.col("doc_id").alias(id_), F.col("drop").alias(lost))
-    out = docs.join(drop, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
-    more = ["n_lines", "n_dropped"] if counts else []
-    fields = [f for f in docs.schema.fields if f.name not in more]
-    spec = out.select(*[f"`{f.name}`" for f in fields], lost)
-    schema = type(docs.schema)([*fields])
-    for name in more:
-        schema = schema.add(name, "long")
-    names = [f.name for f in fields]
-
-    def run(batches):
-        for b in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for t, d in zip(b.column("text").to_pylist(), b.column(lost).to_pylist(), strict=True):
-                lines = (t or "").count("\n") + 1
-                if d:
-                    gone = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in d}
-                    stay = [k not in gone for k in line_keys(t, min_chars)]
-                    t = "\n".join(compress(t.split("\n"), stay))
-                    n_dropped.append(lines - sum(stay))
-                else:
-                    n_dropped.append(0)
-                texts.append(t)
-                n_lines.append(lines)
-            cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
-            cols += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if counts else []
-            yield pa.RecordBatch.from_arrays(cols, [*names, *more])
-
-    small_batches(docs.sparkSession)
-    return spec.mapInArrow(run, schema)
+    id_, th, lost = (free_name(docs, x) for x in ("__doc", "__th", "__drop"))
+    lines = stored(line_keys(docs, min_chars))
+    drop = lines_to_drop(lines, min_docs).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("drop").alias(lost))
+    out = docs.join(drop.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(th)), "left").drop(id_, th)
+    stay = F.filter(F.split("text", "\n", -1), lambda line, pos: _stays(F.col(lost), pos))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    more = {}
+    if counts:
+        n_dropped = F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)), F.lit(0).cast("long"))
+        n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+        more = {"n_lines": n_lines.cast("long"), "n_dropped": n_dropped}
+    cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in more]
+    return out.select(*cols, *[v.alias(k) for k, v in more.items()])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
