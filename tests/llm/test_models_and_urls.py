@@ -248,7 +248,49 @@ def test_languages_of_odd_rows(spark):
     und = [r for r in got if r["doc_id"] in (1, 2, 3, 9, 900, 901) and r["lang_pred"] == "und"]
     assert len(got) == d.count() and {r["doc_id"] for r in und} >= {900, 901} and all(r["score"] == 0 for r in und)
     model = langid.fit(d.limit(0))
-    assert model.predict("any text") == ("und", 0.0)
+    assert model.predict(["any text"]) == [("und", 0.0)]
+    assert langid.predict(d.limit(0), model).count() == 0
+
+
+def test_languages_beside_clashing_columns(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 40)) for k in range(60)]
+    d = docs(spark, rows, ("__id", "h", "at", "share", "held_out", "score", "lang_pred"))
+    assert {r["lang_pred"] for r in langid.predict(d, langid.fit(d, 20)).collect()} == {"en"}
+
+
+def test_subwords_whatever_the_stretch():
+    """Those of each word by hand, alike however words are parted into stretches."""
+    words = ["a", "été", "x" * 50, "日本語", "don't", "ab" * 300]
+    count = lambda ws: Counter((ws[w], b) for x in langid.grams(ws) for w, b in zip(*x, strict=True))
+    want = count(words)
+    n = {w: sum(v for (x, _), v in want.items() if x == w) for w in words}
+    assert n == {w: 1 + sum(max(0, len(w) + 2 - k + 1) for k in (2, 3, 4)) for w in words}
+    old = langid.STRETCH
+    try:
+        for langid.STRETCH in (1, 2, 3, 7, 100):
+            assert count(words) == want and sum((count([w]) for w in words), Counter()) == want
+    finally:
+        langid.STRETCH = old
+
+
+def test_many_texts_are_judged_like_each():
+    rng = random.Random(7)
+    word = {"aa": "abcde", "bb": "vwxyz"}
+    texts = [(" ".join("".join(rng.choice(word[x]) for _ in range(5)) for _ in range(30)), x) for _ in range(60) for x in ("aa", "bb")]
+    model = langid.train([langid.bucket_counts(t) for t, _ in texts], [x for _, x in texts])
+    odd = [*[t for t, _ in texts[:9]], None, "", "1 2 3", "a", " \n", "É", "vwxyz" * 5000, texts[0][0] + "  " + texts[2][0]]
+    old = langid.PART, langid.STRETCH
+    try:
+        langid.PART, langid.STRETCH = 3, 50
+        got = model.predict(odd)
+    finally:
+        langid.PART, langid.STRETCH = old
+    model._forget()
+    for t, (lang, score) in zip(odd, got, strict=True):
+        one = model.predict([t])[0]
+        assert one[0] == lang and abs(one[1] - score) < 1e-4, t
+    assert [x for x, _ in got[9:14]] == ["und", "und", "und", "aa", "und"]
 
 
 # token counts

@@ -2,105 +2,134 @@
 
 A text's subwords are its words (marked at both ends, A-Z lower-cased) and their character n-grams of 2 to 4, hashed into buckets;
 their embeddings are averaged and a linear softmax over the learned languages follows. Embeddings and weights are trained by
-stochastic gradient descent in numpy on the driver, on max_train labelled rows (a documented bound; the rows of least hash). A
-temperature, fitted on a part of those rows that training leaves out, calibrates the score, and the score below which 2 % of
-that part's right answers lie is the rejection threshold.
+stochastic gradient descent in numpy on the driver, on max_train labelled rows (a documented bound; the rows of least hash), of which only the
+counts by bucket reach it: a bounded number of bytes a row, however long its text. A temperature, fitted on a part of those rows that training
+leaves out, calibrates the score, and the score below which 2 % of that part's right answers lie is the rejection threshold.
 
-In prediction each word's summed logits are computed once per worker and remembered up to a fixed number of words; every word of
-the whole text counts.
+In prediction Arrow tells the words of a batch apart; each word's summed logits are computed once per worker, those of all new words of a batch
+at once, and remembered up to a fixed number of words; every word of the whole text counts. Words of any length are taken in stretches of bounded size.
 
 Defined cases: und with score 0 for a null text or one without a letter; without any labelled row all are und with score 0; equal
 logits go to the first language in text order; a document that is held out (by doc_id) never trains, nor does one without doc_id; repeated rows
-may train twice.
+may train twice; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_arrow, table
-
-BUCKETS, DIM, MAX_TRAIN, EPOCHS = 1 << 15, 16, 3000, 8
-MEMO = 250_000
-
-
-def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word and its n-grams of 2 to 4 characters; very long words are runs of their n-grams alike."""
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    grams = [w] + [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
-
-
-def text_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(ASCII_LOWER).split()
-
-
-def _has_letter(text: str | None) -> bool:
-    return bool(text) and any(map(str.isalpha, text))
+from .common import map_arrow, table
+
+BUCKETS, DIM, MAX_TRAIN, EPOCHS = 1 << 15, 16, 2000, 8
+#: Words remembered, and characters and words looked at in one go.
+MEMO, STRETCH, PART = 250_000, 1 << 18, 1 << 18
+_MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "u8")
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def grams(words: list[str]):
+    """Yields (word's number, bucket) of all subwords, in arrays: each word itself, and its n-grams of 2 to 4 characters, marked at both ends."""
+    own = np.fromiter((zlib.crc32(w.encode()) for w in words), "u8", len(words))
+    yield np.arange(len(words)), (own * _MUL[0] >> _SHIFT).astype("i8")
+    flat = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4")
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), "i8", len(words)) + 2)
+    for s in range(0, len(flat), STRETCH):
+        c, k = flat[s : s + STRETCH + 3].astype("u8"), word[s : s + STRETCH + 3]
+        h = c * _MUL[1]
+        for n in (2, 3, 4):
+            m = min(STRETCH, len(c) - n + 1)  # n-grams that start in this stretch
+            if m > 0:
+                h = (h[:m] ^ (h[:m] >> np.uint64(29))) * _MUL[2] + c[n - 1 : n - 1 + m] * _MUL[3]
+                inside = k[:m] == k[n - 1 : n - 1 + m]
+                yield k[:m][inside], (h * _MUL[0] >> _SHIFT)[inside].astype("i8")
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, and the place where each text's words begin (and the last ones end). White space at an end makes an empty word."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ends = cut.offsets.to_numpy()
+    return cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode(), ends - ends[0]
+
+
+def bucket_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text, and each one's share of all subwords."""
+    coded, _ = split_words(pa.array([text], pa.string()))
+    words = coded.dictionary.to_pylist()
+    often = np.bincount(coded.indices.to_numpy(), minlength=len(words)) * np.array([bool(w) for w in words], "i8")
+    total = np.zeros(BUCKETS)
+    for k, b in grams(words):
+        total += np.bincount(b, often[k], BUCKETS)
+    at = np.flatnonzero(total)
+    return at.astype("u2"), (total[at] / max(1, total.sum())).astype("f4")
 
 
 class Model:
     def __init__(self, langs: list[str], table_: np.ndarray, temperature: float, reject_below: float):
         self.langs, self.table, self.temperature, self.reject_below = langs, table_, temperature, reject_below
-        self.memo: dict[bytes, int] = {}
-        self.sums = np.zeros((1 << 12, len(langs) + 1), "f4")
+        self._forget()
 
-    def _row(self, w: bytes) -> int:
-        k = len(self.memo)
-        if k >= len(self.sums):
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {"": 0}
+        self.sums = np.zeros((1 << 12, len(self.langs) + 1), "f4")  # logits, and how many subwords
+
+    def _learn(self, new: list[str]) -> None:
+        k, n = len(self.memo), len(new)
+        while k + n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        ids = subwords(w)
-        self.sums[k, :-1] = self.table[ids].sum(axis=0)
-        self.sums[k, -1] = len(ids)
-        self.memo[w] = k
-        return k
-
-    def logits(self, text: str | None) -> np.ndarray:
-        words = text_words(text)
-        total = np.zeros(len(self.langs) + 1)
-        for s in range(0, len(words), 100_000):
-            part = words[s : s + 100_000]
-            if len(self.memo) + len(part) > MEMO + 100_000:
-                self.memo.clear()
-            try:
-                rows = [self.memo[w] for w in part]
-            except KeyError:
-                rows = [self.memo[w] if w in self.memo else self._row(w) for w in part]
-            total += self.sums[rows].sum(axis=0, dtype="f8")
-        return total[:-1] / max(total[-1], 1)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not _has_letter(text):
-            return "und", 0.0
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        k = int(p.argmax())
-        return self.langs[k], float(p[k] / p.sum())
-
-
-def train(texts: list[str], langs: list[str], seed: int = 1, epochs: int = EPOCHS, batch: int = 32) -> Model:
+        total = np.zeros((n, len(self.langs) + 1))
+        for w, b in grams(new):
+            for c in range(len(self.langs)):
+                total[:, c] += np.bincount(w, self.table[b, c], n)
+            total[:, -1] += np.bincount(w, minlength=n)
+        self.sums[k : k + n] = total
+        self.memo.update(zip(new, range(k, k + n), strict=True))
+
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        """A row a text."""
+        coded, ends = split_words(texts)
+        if len(self.memo) > MEMO:
+            self._forget()
+        own, memo = coded.dictionary.to_pylist(), self.memo
+        new = [w for w in own if w not in memo]
+        s, size = 0, 0
+        for e, w in enumerate(new, 1):
+            size += len(w)
+            if size >= STRETCH or e == len(new):
+                self._learn(new[s:e])
+                s, size = e, 0
+        rows = np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+        total = np.zeros((len(texts), len(self.langs) + 1))
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        for s in range(0, len(rows), PART):
+            r, t = self.sums[rows[s : s + PART]], text[s : s + PART]
+            for c in range(total.shape[1]):
+                total[:, c] += np.bincount(t, r[:, c], len(texts))
+        return total[:, :-1] / np.maximum(total[:, -1:], 1)
+
+    def predict(self, texts: pa.Array | list[str | None]) -> list[tuple[str, float]]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        z = self.logits(texts) / self.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        score = p.max(axis=1) / p.sum(axis=1)
+        letter = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
+        return [(self.langs[k], s) if ok else ("und", 0.0) for k, s, ok in zip(best.tolist(), score.tolist(), letter, strict=True)]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 1, epochs: int = EPOCHS, batch: int = 32) -> Model:
+    """On bucket_counts and their languages."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), "f4"), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    memo: dict[bytes, list[int]] = {}
-    rows = []
-    for t in texts:
-        c: Counter = Counter()
-        for w, n in Counter(text_words(t)).items():
-            if w not in memo:
-                memo[w] = subwords(w)
-            for g in memo[w]:
-                c[g] += n
-        total = sum(c.values()) or 1
-        rows.append((np.fromiter(c, "i4", len(c)), np.fromiter((v / total for v in c.values()), "f4", len(c))))
-    memo.clear()
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(rows))
     aside, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
@@ -144,12 +173,18 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Trained on the max_train labelled rows of least hash that are not held out."""
-    have = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = have.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # a bounded list; texts follow it
-    got = have.join(F.broadcast(ids.distinct().withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "text", "lang")
-    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train).toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    part = docs.where(~held_out() & F.col("lang").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    least = part.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]  # no text is read
+    if least is None:
+        return train([], [])
+
+    def fn(b: pa.RecordBatch) -> dict:
+        each = [bucket_counts(t) for t in b.column("text").to_pylist()]
+        return {c: b.column(c) for c in ("h", "doc_id", "lang")} | {"at": pa.array([x.tobytes() for x, _ in each], pa.binary()), "share": pa.array([x.astype("f2").tobytes() for _, x in each], pa.binary())}
+
+    got = map_arrow(part.where(F.col("h") <= least).where("text is not null"), fn, "h long, doc_id long, lang string, at binary, share binary")
+    rows = sorted((tuple(r) for r in got.orderBy("h", "doc_id", "lang", "at", "share").limit(max_train).collect()), key=lambda r: (r[1], r[2], r[3]))
+    return train([(np.frombuffer(a, "u2"), np.frombuffer(v, "f2").astype("f4")) for _, _, _, a, v in rows], [r[2] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -160,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def fn(b: pa.RecordBatch) -> dict:
         if not own:
             own.append(Model(*shared.value))
-        got = [own[0].predict(t) for t in b.column("text").to_pylist()]
+        got = own[0].predict(b.column("text"))
         return {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": [x for x, _ in got], "score": [x for _, x in got], "rejected": [s < own[0].reject_below for _, s in got]}
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text"), fn, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
