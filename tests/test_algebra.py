@@ -117,9 +117,55 @@ def test_dense_products(spark):
     assert np.allclose([[got[i, j] for j in range(2)] for i in range(3)], v[:, :3].T @ a @ w[:, :2])
 
 
+def test_dense_products_of_all_pairs(spark):
+    v, w, small = RNG.normal(size=(30, 3)), RNG.normal(size=(30, 2)), RNG.normal(size=(4, 3))
+    tall = vec(spark, v)
+    assert np.allclose(dense.gemm(small, tall, 2.0, trans_w="T").to_numpy(), 2 * (small @ v.T).T)  # wide, so given as its transpose
+    assert np.allclose(dense.gemm(tall, w, trans_v="T"), v.T @ w) and np.allclose(dense.gemm(tall, w.T, trans_v="C", trans_w="T"), v.T @ w)
+    assert np.allclose(dense.gemm(w.T, tall), w.T @ v) and np.allclose(dense.gemm(w, tall, 1.0, 2.0, np.ones((2, 3)), trans_v="T"), w.T @ v + 2)
+    assert np.allclose(dense.gemm(small, v.T, trans_v="N"), small @ v.T)
+    for bad in ({"trans_w": "T"}, {"trans_v": "X"}):
+        with pytest.raises(ValueError):
+            dense.gemm(tall, vec(spark, w), **bad)
+    a = random_sparse(30, 30)
+    assert np.allclose(dense.tsmtspmtsm(tall, sparse(spark, a), vec(spark, w), 3.0, 2.0, np.ones((3, 2))), 3 * v.T @ a @ w + 2)
+
+
 def test_compensated_sums(spark):
     x = np.array([[1e16], [1.0], [-1e16], [1.0]] * 50)
     assert dense.tsmttsm(vec(spark, x), vec(spark, np.ones((200, 1))), kahan=True)[0, 0] == 100.0
+    hard = RNG.normal(size=(501, 3)) * 10.0 ** RNG.integers(-8, 17, (501, 3))
+    hard = np.concatenate([hard, -hard, np.ones((1, 3))])
+    assert np.allclose(dense.tsmttsm(vec(spark, hard), vec(spark, np.ones((1003, 1))), kahan=True), 1.0, rtol=1e-12)
+
+
+def test_owners_of_many_parts(spark):
+    offs = [0, *sorted(RNG.integers(0, 500, 99).tolist()), 500]  # some parts are empty
+    for o in (offs, [0, 500], [0, 250, 500]):
+        got = {r["id"]: r["p"] for r in spark.range(500).select("id", dist.owner(o)(F.col("id")).alias("p")).collect()}
+        assert got == {i: int(np.searchsorted(o[1:-1], i, "right")) for i in range(500)}
+
+
+def test_no_communication_sees_own_columns(spark, band):
+    a, m = band
+    x, part = RNG.normal(size=(40, 2)), dist.owner(dist.by_rows(40, 4))
+    own = np.kron(np.eye(4), np.ones((10, 10))) * m
+    assert np.allclose(spmv(a, vec(spark, x), SpmvOpts(mode="nocomm", part=part)).y.to_numpy(), own @ x)
+    assert np.allclose(spmv(a, vec(spark, x), SpmvOpts(mode="pipelined", part=part)).y.to_numpy(), m @ x)
+    with pytest.raises(ValueError):
+        spmv(a, vec(spark, x), SpmvOpts(mode="vectr"))
+    r = spmv(a, vec(spark, x), SpmvOpts(dots=True))
+    r.dots.collect()
+    r.release()
+
+
+def test_average_bands_leave_the_diagonal_out(spark):
+    """Of the 5-row Laplacian: rows with two neighbours have 1 + 1 + 1, those at the ends 1 + 1; with three empty rows below, each adds 1."""
+    lap = SparseMatrix.stencil(spark, 5, {-1: -1.0, 0: 2.0, 1: -1.0})
+    r = stats.summary(lap).first()
+    assert r["avg_avg_row_band"] == pytest.approx((3 * 3 + 2 * 2) / 5) and r["avg_row_band"] == pytest.approx((3 * 3 + 2 * 2) / 5)
+    r = stats.summary(SparseMatrix(lap.df, 8, 8)).first()
+    assert r["avg_avg_row_band"] == pytest.approx((13 + 3) / 8) and r["avg_row_band"] == pytest.approx(13 / 8)
 
 
 # permutations
@@ -145,26 +191,37 @@ def test_rcm_narrows_the_band(spark):
     assert after < before
 
 
-def test_rcm_orders_every_row(spark, sf):
-    """Ten thousand rows without neighbours and more, two pieces; the bound raises; the query covers its tables."""
-    n = 10_050
+@pytest.mark.parametrize("max_local", [2_000_000, 0])
+def test_rcm_orders_every_row(spark, max_local):
+    """Twenty thousand rows without neighbours and more, two pieces; a bound on the levels raises."""
+    n = 20_050
     a = SparseMatrix(spark.createDataFrame([(3, 4, 1.0), (4, 5, 1.0), (9, 10, 1.0), (8, 8, 1.0)], "i long, j long, v double"), n, n)
-    at = {r["idx"]: r["perm"] for r in permute.rcm(a).collect()}
+    at = {r["idx"]: r["perm"] for r in permute.rcm(a, max_local=max_local).collect()}
     linked = [3, 4, 5, 9, 10]
     want = [i for i in range(n) if i not in linked] + [3, 4, 5, 9, 10]
     assert at == {i: n - 1 - k for k, i in enumerate(want)}
     with pytest.raises(RuntimeError):
         permute.rcm(SparseMatrix.stencil(spark, 6, {-1: 1.0, 1: 1.0}), max_levels=2)
-    rows = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "part"))
-    assert sorted(r["perm"] for r in catalog.QUERIES["rcm"](spark, sf).collect()) == list(range(rows))
 
 
-def test_colours_are_valid(spark):
-    m = random_sparse(30, 30, 0.15)
-    color = {r["i"]: r["color"] for r in permute.color(sparse(spark, m)).collect()}
-    assert set(color) == set(range(30))
-    for c in set(color.values()):
-        assert (np.count_nonzero(m[[i for i in color if color[i] == c]], axis=0) <= 1).all()
+def test_rcm_is_the_same_in_one_piece_and_by_levels(spark):
+    a = sparse(spark, np.triu(random_sparse(60, 60, 0.04)))
+    by_levels = {r["idx"]: r["perm"] for r in permute.rcm(a, max_local=0).collect()}
+    assert by_levels == {r["idx"]: r["perm"] for r in permute.rcm(a).collect()} and sorted(by_levels.values()) == list(range(60))
+
+
+def test_rcm_of_an_unsymmetric_pattern(spark):
+    """A shuffled rectangular band is narrow again."""
+    n, m = 30, 20
+    want = np.array([[abs(i * m / n - j) <= 1.0 for j in range(m)] for i in range(n)], float)
+    rows, cols = RNG.permutation(n), RNG.permutation(m)
+    a = sparse(spark, want[rows][:, cols])
+    p, q = permute.rcm_bipartite(a)
+    for x, k in ((p, n), (q, m)):
+        got = {r["idx"]: r["perm"] for r in x.collect()}
+        assert sorted(got) == sorted(got.values()) == list(range(k))
+    spread = lambda x: max(np.ptp(np.flatnonzero(r)) for r in x if r.any())
+    assert spread(permute.permute(a, p, q).to_numpy()) < spread(want[rows][:, cols])
 
 
 # row projections
@@ -203,6 +260,58 @@ def test_carp_lowers_the_residual(spark, band):
     assert np.allclose(got, want) and np.linalg.norm(m @ got - b) < np.linalg.norm(b)
 
 
+def test_block_multicolour_with_a_rest(spark):
+    """Blocks within slices, then those over two slices, then rows that reach further, by colours: every row is projected onto once, as a plain sweep in that order does."""
+    n = 24
+    m = np.zeros((n, n))
+    for i in range(n):
+        m[i, max(0, i - 1) : i + 2] = 1.0 + i
+    for i in (2, 9):
+        m[i, [1, 22]] = 2.0
+    a = sparse(spark, m)
+    b, x = RNG.normal(size=n), RNG.normal(size=n)
+    zone = {r["i"]: r["zone"] for r in permute.block_zones(a, 4).collect()}
+    rest = a.with_df(a.df.where(F.col("i").isin([i for i in zone if zone[i] == 8])))
+    color = {r["i"]: r["color"] for r in permute.color(rest).collect()}
+    phase = lambda i: (3, color[i]) if zone[i] == 8 else (0, 0) if zone[i] % 2 == 0 else (1 if zone[i] % 4 == 1 else 2, 0)
+    order = sorted(range(n), key=lambda i: (phase(i), i))
+    assert any(zone[i] == 8 for i in zone)
+    assert np.allclose(kaczmarz.block_multicolor(a, vec(spark, b), vec(spark, x), 4).to_numpy()[:, 0], sweep_np(m, b, x, order))
+    back = sorted(range(n), key=lambda i: ((-phase(i)[0], -phase(i)[1]), -i))
+    assert np.allclose(kaczmarz.block_multicolor(a, vec(spark, b), vec(spark, x), 4, backward=True).to_numpy()[:, 0], sweep_np(m, b, x, back))
+
+
+def test_widths_are_measured(spark, band):
+    a, m = band
+    ticks = iter([0.0, 3.0, 3.0, 4.0])
+    got = kaczmarz.tune_parts(a, vec(spark, RNG.normal(size=40)), vec(spark, np.zeros(40)), [2, 4], clock=lambda: next(ticks))
+    assert [r[0] for r in got] == [4, 2] and got[0][1] == 1.0
+
+
+def test_shifted_sweep_over_parts(spark, band):
+    """Two parts sweep on copies, and what both hold is averaged."""
+    a, m = band
+    b, x = RNG.normal(size=40), RNG.normal(size=(40, 1)) + 1j * RNG.normal(size=(40, 1))
+    s = 0.5 + 1j
+    part = dist.owner([0, 20, 40])
+    rows = spark.createDataFrame([(i, 0, float(v.real), float(v.imag)) for i, v in enumerate(x[:, 0])], "i long, k int, re double, im double")
+    rhs = spark.createDataFrame([(i, float(v), 0.0) for i, v in enumerate(b)], "i long, re double, im double")
+    got = np.zeros(40, complex)
+    for r in kaczmarz.shifted_part_sweep(a, rhs, rows, [s], part).collect():
+        got[r["i"]] = complex(r["re"], r["im"])
+    copies, held = [], []
+    for p in range(2):
+        z = x[:, 0].copy()
+        for i in range(20 * p, 20 * p + 20):
+            row = m[i].astype(complex)
+            row[i] -= s
+            z += (b[i] - row @ z) / (abs(row) ** 2).sum() * row.conj()
+        copies.append(z)
+        held.append(np.count_nonzero(m[20 * p : 20 * p + 20], axis=0) > 0)
+    want = (copies[0] * held[0] + copies[1] * held[1]) / (held[0].astype(int) + held[1])
+    assert np.allclose(got, want)
+
+
 def test_shifted_sweep(spark, band):
     a, m = band
     b, x = RNG.normal(size=40), np.zeros((40, 2), complex)

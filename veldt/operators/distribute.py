@@ -43,13 +43,24 @@ def by_nnz(a: SparseMatrix, parts: int) -> list[int]:
 
 
 def owner(offs: list[int]) -> Callable[[Column], Column]:
-    """The part of a row."""
+    """The part of a row: few parts are a chain of comparisons; many a binary search in one constant array, whose code doesn't grow with them."""
+    n = len(offs) - 1
 
     def part(i: Column) -> Column:
-        out = F.lit(len(offs) - 2)
-        for k in range(len(offs) - 3, -1, -1):
-            out = F.when(i < offs[k + 1], F.lit(k)).otherwise(out)
-        return out
+        if n <= 16:
+            out = F.lit(n - 1)
+            for k in range(n - 2, -1, -1):
+                out = F.when(i < offs[k + 1], F.lit(k)).otherwise(out)
+            return out
+        ends = F.array(*[F.lit(o).cast("long") for o in offs[1:]])
+        span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+        def halve(a, _):
+            mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+            below = i < F.get(ends, mid)  # the first part whose end is beyond i
+            return F.when(a["lo"] >= a["hi"], a).when(below, span(a["lo"], mid)).otherwise(span(mid + 1, a["hi"]))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), span(F.lit(0), F.lit(n - 1)), halve)["lo"]
 
     return part
 

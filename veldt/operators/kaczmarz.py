@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.util import cut
+from . import permute
 from .block_vector import BlockVector
+from .distribute import by_rows, owner
 from .matrix import SparseMatrix
 
 
@@ -68,7 +71,11 @@ def sweep_rows(i, j, v, b: dict, x: dict, omega: complex, shift: complex = 0, ba
 
 def part_sweep(a: SparseMatrix, b: BlockVector | None, x: BlockVector, part: Callable[[Column], Column], omega: float = 1.0, backward: bool = False) -> DataFrame:
     """(part, j, x): each part sweeps its own rows, one after the other, on its own copy of the x that they touch. A part must fit one task."""
-    rows = a.df.withColumn("part", part(F.col("i")))
+    return _part_rows(a.df.withColumn("part", part(F.col("i"))), b, x, omega, backward)
+
+
+def _part_rows(rows: DataFrame, b: BlockVector | None, x: BlockVector, omega: float, backward: bool) -> DataFrame:
+    """part_sweep of rows(part, i, j, v)."""
     if b is not None:
         rows = rows.join(b.df.select("i", F.col("x")[0].alias("b")), "i")
     else:
@@ -116,28 +123,75 @@ def carp(a: SparseMatrix, b: BlockVector | None, x: BlockVector, part: Callable[
     return x
 
 
-def shifted_sweep(a: SparseMatrix, b: np.ndarray | None, x: np.ndarray, shifts: list[complex], omega: float = 1.0, backward: bool = False) -> np.ndarray:
-    """x has a column for each shift; each is swept with A - shift I, as one task a shift."""
-    spark = a.df.sparkSession
-    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(complex(s).real).alias("re"), F.lit(complex(s).imag).alias("im")) for k, s in enumerate(shifts)])
-    rows = a.df.select("i", "j", "v", F.explode(arr).alias("s")).select("i", "j", "v", "s.*")
-    x0, rhs = np.asarray(x, "c16"), {} if b is None else dict(enumerate(np.asarray(b, "c16").tolist()))
+def block_multicolor(a: SparseMatrix, b: BlockVector | None, x: BlockVector, zones: int = 4, omega: float = 1.0, backward: bool = False) -> BlockVector:
+    """Block multi-colour sweep: rows within one slice of columns, each slice as a block; then rows over two neighbouring slices, every other pair at once; then the rest of the rows by colours."""
+    where = cut(permute.block_zones(a, zones))
+    rest = a.with_df(a.df.join(where.where(F.col("zone") == 2 * zones).select("i"), "i", "left_semi"))
+    colors = None if rest.df.isEmpty() else cut(permute.color(rest).join(rest.df.select("i").distinct(), "i"))
+    z = F.col("zone")
+    phases = [z % 2 == 0, z % 4 == 1, z % 4 == 3]
+    marked = a.df.join(where.where(z < 2 * zones), "i")
+
+    def blocks(x: BlockVector) -> BlockVector:
+        for phase in reversed(phases) if backward else phases:
+            own = marked.where(phase)
+            x = halo_average(_part_rows(own.withColumnRenamed("zone", "part"), b, x, omega, backward), x)
+            x = BlockVector(cut(x.df), x.nrows, 1)
+        return x
+
+    def others(x: BlockVector) -> BlockVector:
+        return x if colors is None else color_sweep(rest, b, x, colors, omega, backward)
+
+    return blocks(others(x)) if backward else others(blocks(x))
+
+
+def shifted_part_sweep(a: SparseMatrix, b: DataFrame | None, x: DataFrame, shifts: list[complex], part: Callable[[Column], Column], omega: float = 1.0, backward: bool = False) -> DataFrame:
+    """x(i, k, re, im) after each column k was swept with A - shifts[k] I, b being (i, re, im). Each part sweeps its own rows, on its own copy of the x that they
+    touch, and what several parts hold is averaged: a task for each part and shift, of the part's size."""
+    stored = a.df.groupBy("i").agg(F.max((F.col("i") == F.col("j")).cast("int")).alias("own"))
+    diag = stored.where((F.col("own") == 0) & (F.col("i") < a.ncols)).select("i", F.col("i").alias("j"), F.lit(0.0).alias("v"))  # a shift is an entry, stored or not
+    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(complex(s).real).alias("sr"), F.lit(complex(s).imag).alias("si")) for k, s in enumerate(shifts)])
+    rows = a.df.unionAll(diag).withColumn("part", part(F.col("i")))
+    zero = F.lit(0.0)
+    rows = rows.join(b.select("i", F.col("re").alias("br"), F.col("im").alias("bi")), "i", "left") if b is not None else rows.withColumn("br", zero).withColumn("bi", zero)
+    rows = rows.select("part", "i", "j", "v", F.coalesce("br", zero).alias("br"), F.coalesce("bi", zero).alias("bi"), F.inline(arr))
+    rows = rows.join(x.select(F.col("i").alias("j"), "k", "re", "im"), ["j", "k"]).select("part", "k", "i", "j", "v", "br", "bi", "sr", "si", "re", "im")
 
     def run(key, t):
-        t = t.sort_by([("i", "ascending"), ("j", "ascending")])
-        k = key[0].as_py()
-        xs = dict(enumerate(x0[:, k].tolist()))
-        sweep_rows(t["i"].to_numpy(), t["j"].to_numpy(), t["v"].to_numpy(), rhs, xs, omega, complex(t["re"][0].as_py(), t["im"][0].as_py()), backward)
+        t = t.sort_by([("i", "ascending"), ("j", "ascending"), ("v", "ascending")])
+        c = {n: t[n].to_numpy() for n in t.column_names}
+        xs = dict(zip(c["j"].tolist(), (c["re"] + 1j * c["im"]).tolist(), strict=True))
+        sweep_rows(c["i"], c["j"], c["v"], dict(zip(c["i"].tolist(), (c["br"] + 1j * c["bi"]).tolist(), strict=True)), xs, omega, complex(c["sr"][0], c["si"][0]), backward)
         val = np.array(list(xs.values()))
-        return pa.table({"k": pa.array([k] * len(xs), pa.int32()), "i": pa.array(list(xs), pa.int64()), "re": pa.array(val.real), "im": pa.array(val.imag)})
+        return pa.table({"k": pa.array([key[1].as_py()] * len(xs), pa.int32()), "i": pa.array(list(xs), pa.int64()), "nr": pa.array(val.real), "ni": pa.array(val.imag)})
+
+    new = rows.groupBy("part", "k").applyInArrow(run, "k int, i long, nr double, ni double").groupBy("i", "k").agg(F.avg("nr").alias("nr"), F.avg("ni").alias("ni"))
+    return x.join(new, ["i", "k"], "left").select("i", "k", F.coalesce("nr", "re").alias("re"), F.coalesce("ni", "im").alias("im"))
+
 
-    out = x0.copy()
-    del spark
-    for r in rows.groupBy("k").applyInArrow(run, "k int, i long, re double, im double").collect():
+def shifted_sweep(a: SparseMatrix, b: np.ndarray | None, x: np.ndarray, shifts: list[complex], omega: float = 1.0, backward: bool = False) -> np.ndarray:
+    """shifted_part_sweep of one part, for vectors that the driver holds."""
+    spark = a.df.sparkSession
+    x, table = np.asarray(x, "c16"), lambda rows, more: spark.createDataFrame(rows, f"i long, {more}re double, im double")
+    start = table([(i, k, float(v.real), float(v.imag)) for (i, k), v in np.ndenumerate(x)], "k int, ")
+    rhs = None if b is None else table([(i, float(v.real), float(v.imag)) for i, v in enumerate(np.asarray(b, "c16"))], "")
+    out = x.copy()
+    for r in shifted_part_sweep(a, rhs, start, shifts, lambda i: F.lit(0), omega, backward).collect():
         out[r["i"], r["k"]] = complex(r["re"], r["im"])
     return out
 
 
+def tune_parts(a: SparseMatrix, b: BlockVector | None, x: BlockVector, choices: list[int], iterations: int = 1, clock: Callable[[], float] = time.perf_counter) -> list[tuple[int, float, float]]:
+    """(parts, seconds, GF/s) of CARP iterations for each number of parts, the fastest first: what a sweep's width should be is measured."""
+    nnz, out = a.nnz(), []
+    for parts in choices:
+        t = clock()
+        carp(a, b, x, owner(by_rows(a.nrows, parts)), iterations=iterations).df.agg(F.count("*")).first()
+        t = clock() - t
+        out.append((parts, t, 8e-9 * nnz * iterations / t if t else float("inf")))  # forward and backward: four operations an entry each
+    return sorted(out, key=lambda r: r[1])
+
+
 def zone_report(a: SparseMatrix, zone: Callable[[Column], Column]) -> DataFrame:
-    """(zone, n_rows, nnz)."""
-    return a.df.groupBy(zone(F.col("i")).alias("zone")).agg(F.countDistinct("i").alias("n_rows"), F.count("*").alias("nnz"))
+    """(zone, n_rows, nnz, lo, hi): lo and hi are the zone's first and last column."""
+    return a.df.groupBy(zone(F.col("i")).alias("zone")).agg(F.countDistinct("i").alias("n_rows"), F.count("*").alias("nnz"), F.min("j").alias("lo"), F.max("j").alias("hi"))

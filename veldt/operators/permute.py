@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,35 +56,74 @@ def _pattern(a: SparseMatrix) -> DataFrame:
     return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def rcm(a: SparseMatrix, max_levels: int | None = None) -> DataFrame:
-    """Reverse Cuthill-McKee on the symmetrised pattern: levels from a row of least degree, each by (first parent, degree, row); the number of jobs is that of the levels.
-
-    Rows without neighbours, which come first, are one step. All rows are ordered; a bound on the levels raises when it is hit.
+def _levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Places of the rows 0..n - 1 in Cuthill-McKee's order, from edges in both directions: level by level, by (first parent, degree, row)."""
+    order = np.argsort(src, kind="stable")
+    dst, degree = dst[order], np.bincount(src, minlength=n)
+    first = np.cumsum(degree) - degree
+    pos, at = np.full(n, -1), 0
+    starts = iter(np.lexsort((np.arange(n), degree)).tolist())
+    while at < n:
+        front = np.array([next(i for i in starts if pos[i] < 0)])
+        while len(front):
+            pos[front] = np.arange(at, at + len(front))
+            at += len(front)
+            k = degree[front]
+            to = dst[np.arange(k.sum()) + np.repeat(first[front] - (np.cumsum(k) - k), k)]
+            parent = np.repeat(pos[front], k)
+            new = pos[to] < 0
+            to, parent = to[new], parent[new]
+            front, where = np.unique(to, return_index=True)  # parents come in their order, so the first is the least
+            front = front[np.lexsort((front, degree[front], parent[where]))]
+    return pos
+
+
+def rcm(a: SparseMatrix, max_levels: int | None = None, max_local: int = 2_000_000) -> DataFrame:
+    """Reverse Cuthill-McKee on the symmetrised pattern: levels from a row of least degree, each by (first parent, degree, row).
+
+    Patterns of at most max_local edges and rows (counted before) are ordered in one piece. Larger ones take a few jobs a level: rows without neighbours are one
+    step, and a level needs only the two before it. All rows are ordered; a bound on the levels raises when it is hit.
     """
     if a.nrows != a.ncols:
         raise ValueError("this ordering needs a square matrix")
+    spark = a.df.sparkSession
     edges = cut(_pattern(a))
-    space = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i"))
+    if max_levels is None and max(a.nrows, edges.count()) <= max_local:
+        e = edges.toArrow()
+        pos = _levels(e["a"].to_numpy(), e["b"].to_numpy(), a.nrows)
+        return spark.createDataFrame(pa.table({"idx": np.arange(a.nrows), "perm": a.nrows - 1 - pos}))
+    space = spark.range(a.nrows).select(F.col("id").alias("i"))
     deg = edges.groupBy("a").agg(F.count("*").alias("d"))
     nodes = cut(space.join(deg.withColumnRenamed("a", "i"), "i", "left").select("i", F.coalesce("d", F.lit(0)).alias("d")))
     done = cut(global_rank(nodes.where("d = 0").select("i"), "i", name="pos"))
-    n, levels, front = done.count(), 0, None
+    n, levels, front, last = done.count(), 0, None, None
     while n < a.nrows:
         if max_levels is not None and levels >= max_levels:
             raise RuntimeError("too many levels")
         levels += 1
         if front is not None:
-            nxt = edges.join(front.select(F.col("i").alias("a"), "pos"), "a").groupBy(F.col("b").alias("i")).agg(F.min("pos").alias("p")).join(done, "i", "left_anti").join(nodes, "i")
-            front = global_rank(nxt, "p", "d", "i").select("i", (F.col("rank") + n).alias("pos"))
-            front = cut(front)
+            nxt = edges.join(front.select(F.col("i").alias("a"), "pos"), "a").groupBy(F.col("b").alias("i")).agg(F.min("pos").alias("p")).join(front, "i", "left_anti")
+            nxt = (nxt if last is None else nxt.join(last, "i", "left_anti")).join(nodes, "i")
+            last, front = front, cut(global_rank(nxt, "p", "d", "i").select("i", (F.col("rank") + n).alias("pos")))
         if front is None or front.isEmpty():  # the next piece
             left = nodes.join(done, "i", "left_anti")
-            front = cut(left.orderBy("d", "i").limit(1).select("i", F.lit(n).cast("long").alias("pos")))
+            last, front = None, cut(left.orderBy("d", "i").limit(1).select("i", F.lit(n).cast("long").alias("pos")))
         n += front.count()
-        done = cut(done.unionAll(front))
+        done = done.unionAll(front)
+        if levels % 16 == 0:
+            done = cut(done)
     return done.select(F.col("i").alias("idx"), (F.lit(a.nrows - 1) - F.col("pos")).alias("perm"))
 
 
+def rcm_bipartite(a: SparseMatrix, **kw) -> tuple[DataFrame, DataFrame]:
+    """For unsymmetric patterns: rows and columns are the two sides of one graph, which is ordered as a whole; of that order each side takes its own."""
+    n = a.nrows
+    both = SparseMatrix(a.df.select("i", (F.col("j") + n).alias("j"), "v"), n + a.ncols, n + a.ncols)
+    p = cut(rcm(both, **kw))
+    side = lambda df, off: global_rank(df, "perm", name="rank").select((F.col("idx") - off).alias("idx"), F.col("rank").alias("perm"))
+    return side(p.where(F.col("idx") < n), 0), side(p.where(F.col("idx") >= n), n)
+
+
 def color(a: SparseMatrix, max_rounds: int = 1000) -> DataFrame:
     """(i, color): no two rows of a colour share a column. Rounds of independent rows: the row of least (hash, i) in each of its columns takes the round's colour.
 

@@ -13,9 +13,13 @@ from .block_vector import BlockVector, Scalar, _per_column
 from .matrix import SparseMatrix
 
 
+MODES = ("vector", "overlap", "task", "pipelined", "nocomm")
+
+
 @dataclass(frozen=True)
 class SpmvOpts:
-    """mode (vector, overlap, task, pipelined, nocomm) and barrier are accepted and change nothing: the planner moves the data."""
+    """Of the modes, vector, overlap, task and pipelined differ in how data moves, which is the planner's business here; nocomm moves none, so that each part
+    sees its own columns alone (with no parts there is one, which has all). barrier changes nothing."""
 
     alpha: float | None = None
     axpy: bool = False
@@ -36,6 +40,12 @@ class SpmvResult:
     y: BlockVector
     z: BlockVector | None = None
     dots: DataFrame | None = None  # ([part,] c, yy, xy, xx)
+    held: DataFrame | None = None  # kept in executors for y, z and the dots
+
+    def release(self) -> None:
+        """Lets go of what is kept, once y, z and the dots have been read."""
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def product(a: SparseMatrix, x: BlockVector) -> DataFrame:
@@ -49,6 +59,10 @@ def product(a: SparseMatrix, x: BlockVector) -> DataFrame:
 def spmv(a: SparseMatrix, x: BlockVector, opts: SpmvOpts = SpmvOpts(), y: BlockVector | None = None, z: BlockVector | None = None) -> SpmvResult:
     check_mat_vec(a, x, y)
     o, k = opts, x.ncols
+    if o.mode not in MODES:
+        raise ValueError(f"no mode is called {o.mode}")
+    if o.mode == "nocomm" and o.part is not None and o.only != "remote":
+        a = a.split(o.part)[0]
     if o.only:
         if o.part is None:
             raise ValueError("local and remote parts need the rows' owners")
@@ -109,4 +123,4 @@ def spmv(a: SparseMatrix, x: BlockVector, opts: SpmvOpts = SpmvOpts(), y: BlockV
         by = [] if o.reduce or o.part is None else [o.part(F.col("i")).alias("part")]
         each = F.array(*[F.struct(F.lit(c).alias("c"), *[F.col(f"{n}{c}").alias(n) for n in ("yy", "xy", "xx")]) for c in range(k)])
         dots = out.groupBy(*by).agg(*sums).select(*["part"] * len(by), F.inline(each))
-    return SpmvResult(BlockVector(out.select("i", F.col("ny").alias("x")), a.nrows, k), res_z, dots)
+    return SpmvResult(BlockVector(out.select("i", F.col("ny").alias("x")), a.nrows, k), res_z, dots, out if o.dots else None)

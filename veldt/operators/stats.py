@@ -11,22 +11,22 @@ from .matrix import SparseMatrix
 
 
 def row_profile(a: SparseMatrix) -> DataFrame:
-    """(i, len, lo, hi, avg_low, avg_up) of rows with entries; the diagonal counts on both sides."""
+    """(i, len, lo, hi, avg_low, avg_up) of rows with entries: the averages are over the entries strictly below and strictly above the diagonal, 0 where there are none."""
     d = F.col("j") - F.col("i")
-    low, up = F.when(d <= 0, -d), F.when(d >= 0, d)
+    low, up = F.when(d < 0, -d), F.when(d > 0, d)
     return a.df.groupBy("i").agg(F.count("*").alias("len"), F.min("j").alias("lo"), F.max("j").alias("hi"), F.coalesce(F.avg(low), F.lit(0.0)).alias("avg_low"), F.coalesce(F.avg(up), F.lit(0.0)).alias("avg_up"))
 
 
 def summary(a: SparseMatrix) -> DataFrame:
-    """One row: bandwidths, average row bands, row lengths and their spread."""
+    """One row: bandwidths, average row bands, row lengths and their spread. Averages are over all rows; a row without entries has no band (0), and 1 as average row band of averages."""
     r = row_profile(a)
     n = a.nrows
     s = r.agg(
         F.sum("len").alias("nnz"),
         F.max(F.col("i") - F.col("lo")).alias("low"),
         F.max(F.col("hi") - F.col("i")).alias("up"),
-        F.avg(F.col("hi") - F.col("lo") + 1).alias("avg_row_band"),
-        F.avg(F.col("avg_low") + F.col("avg_up") + 1).alias("avg_avg_row_band"),
+        (F.sum(F.col("hi") - F.col("lo") + 1) / F.lit(n)).alias("avg_row_band"),
+        (F.sum(F.col("avg_low") + F.col("avg_up")) / F.lit(n) + 1).alias("avg_avg_row_band"),
         F.max("len").alias("max_len"),
         F.sum(F.col("len") * F.col("len")).alias("sq"),
         F.count("*").alias("full"),

@@ -6,6 +6,7 @@ part, supplier and embeddings, so that sums are exact in any order.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -282,9 +283,12 @@ def dense_from_func(s, d):
     return BlockVector.from_func(s, 100, 3, lambda i, c: i * 3 + c).tidy()
 
 
-@query()
+@query("SELECT CAST(c AS INTEGER) AS c, CAST(100000 AS BIGINT) AS n, true AS within, true AS mean_fits, true AS spread_fits FROM range(2) t(c)")
 def dense_rand(s, d):
-    return BlockVector.rand(s, 1000, 2, 7).tidy()
+    """By column: how many numbers, whether all lie in [-1, 1], and whether mean and variance are those of the uniform law (0 and 1/3, within some five standard errors)."""
+    x = BlockVector.rand(s, 100_000, 2, 7).tidy()
+    r = x.groupBy("c").agg(F.count("*").alias("n"), F.max(F.abs("v")).alias("most"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
+    return r.select("c", "n", (F.col("most") <= 1).alias("within"), (F.abs("mean") < 0.01).alias("mean_fits"), (F.abs(F.col("var") - F.lit(1 / 3)) < 0.005).alias("spread_fits"))
 
 
 @query(f"WITH {LAP} SELECT i, j, v FROM a")
@@ -487,22 +491,43 @@ def ents_in_col(s, d):
 
 
 # statistics
-_PROF = "q AS (SELECT i, count(*) AS len, min(j) AS lo, max(j) AS hi, coalesce(avg(CASE WHEN j <= i THEN i - j END), 0) AS al, coalesce(avg(CASE WHEN j >= i THEN j - i END), 0) AS au FROM a GROUP BY 1)"
+# by row, from its entries: distances of those left and right of the diagonal, which itself is on neither side
+_PROF = """e AS (SELECT i, j, abs(j - i) AS dist, sign(j - i) AS side FROM a),
+q AS (SELECT i, count(*) AS len, min(j) AS lo, max(j) AS hi, sum(dist) FILTER (WHERE side = -1) AS dl, count(*) FILTER (WHERE side = -1) AS nl,
+      sum(dist) FILTER (WHERE side = 1) AS du, count(*) FILTER (WHERE side = 1) AS nu FROM e GROUP BY 1),
+p AS (SELECT i, len, lo, hi, CASE WHEN nl > 0 THEN dl / nl ELSE 0 END AS al, CASE WHEN nu > 0 THEN du / nu ELSE 0 END AS au FROM q)"""
 
 
-@query(f"WITH {SP}, {_PROF} SELECT i, len, lo, hi, round(al, 6) AS avg_low, round(au, 6) AS avg_up FROM q")
+@query(f"WITH {SP}, {_PROF} SELECT i, len, lo, hi, round(al, 6) AS avg_low, round(au, 6) AS avg_up FROM p")
 def row_profile(s, d):
     r = stats.row_profile(_items(s, d, "l_suppkey", "supplier"))
     return r.select("i", "len", "lo", "hi", F.round("avg_low", 6).alias("avg_low"), F.round("avg_up", 6).alias("avg_up"))
 
 
-@query(
-    f"WITH {LAP}, {_PROF}, n AS (SELECT count(*) AS n FROM supplier), m AS (SELECT sum(len) / any_value(n) AS mean FROM q, n) SELECT CAST(sum(len) AS BIGINT) AS nnz, max(i - lo) AS lower_bandwidth, max(hi - i) AS upper_bandwidth, max(i - lo) + max(hi - i) + 1 AS bandwidth, round(avg(hi - lo + 1), 6) AS avg_row_band, round(avg(al + au + 1), 6) AS avg_avg_row_band, round(any_value(mean), 6) AS avg_row_len, round(sum((len - mean) * (len - mean)) / any_value(n), 6) AS row_len_variance, max(len) AS max_len FROM q, m, n"
-)
+# every row counts, those of orders without lineitems too: they have no band, and 1 in the average of averages
+_STATS = f"""{_PROF}, n AS (SELECT count(*) AS n, (SELECT sum(len) FROM p) AS nnz FROM rows_),
+t AS (SELECT rows_.i, len, lo, hi, coalesce(al, 0) AS al, coalesce(au, 0) AS au FROM rows_ LEFT JOIN p ON rows_.i = p.i),
+v AS (SELECT sum((len - nnz / n) * (len - nnz / n)) / any_value(n) AS var FROM t, n WHERE len IS NOT NULL)
+SELECT CAST(any_value(nnz) AS BIGINT) AS nnz, greatest(0, max(t.i - lo)) AS lower_bandwidth, greatest(0, max(hi - t.i)) AS upper_bandwidth,
+       greatest(0, max(t.i - lo)) + greatest(0, max(hi - t.i)) + 1 AS bandwidth, round(sum(coalesce(hi - lo + 1, 0)) / any_value(n), 6) AS avg_row_band,
+       round(sum(al + au + 1) / any_value(n), 6) AS avg_avg_row_band, round(any_value(nnz) / any_value(n), 6) AS avg_row_len, round(any_value(var), 6) AS row_len_variance,
+       round(sqrt(any_value(var)), 6) AS row_len_deviation, round(sqrt(any_value(var)) / (any_value(nnz) / any_value(n)), 6) AS row_len_cv, max(len) AS max_len FROM t, n, v"""
+
+
+def _summary(a):
+    r = stats.summary(a)
+    rounded = ("avg_row_band", "avg_avg_row_band", "avg_row_len", "row_len_variance", "row_len_deviation", "row_len_cv")
+    return r.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in r.columns])
+
+
+@query(f"WITH {LAP}, rows_ AS (SELECT s_suppkey AS i FROM supplier), {_STATS}")
 def mat_stats(s, d):
-    r = stats.summary(_lap(s, d))
-    rounded = ("avg_row_band", "avg_avg_row_band", "avg_row_len", "row_len_variance")
-    return r.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in r.columns if c not in ("row_len_deviation", "row_len_cv")])
+    return _summary(_lap(s, d))
+
+
+@query(f"WITH a AS (SELECT l_orderkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem), rows_ AS (SELECT o_orderkey AS i FROM orders), {_STATS}")
+def mat_stats_orders(s, d):
+    return _summary(_items(s, d))
 
 
 @query(f"WITH {SP}, n AS (SELECT i, count(*) AS len FROM a GROUP BY 1) SELECT max(len) AS max_len, count(*) FILTER (WHERE len = (SELECT max(len) FROM n)) AS n_rows FROM n")
@@ -550,7 +575,7 @@ def block_color_perm(s, d):
     return permute.zone_perm(permute.block_zones(_lap(s, d), 4))
 
 
-@query(f"WITH {LAP} SELECT {P4('i')} AS zone, count(DISTINCT i) AS n_rows, count(*) AS nnz FROM a GROUP BY 1")
+@query(f"WITH {LAP} SELECT {P4('i')} AS zone, count(DISTINCT i) AS n_rows, count(*) AS nnz, min(j) AS lo, max(j) AS hi FROM a GROUP BY 1")
 def zone_report(s, d):
     a = _lap(s, d)
     return kaczmarz.zone_report(a, dist.owner(dist.by_rows(a.nrows, 4)))
@@ -578,41 +603,107 @@ def kacz_color_step(s, d):
     return kaczmarz.color_step(a, _ys(s, d), _xs(s, d).columns([0]), rows).df.select("i", F.round(F.col("x")[0], 6).alias("v"))
 
 
-@query()
+@query("SELECT count(*) AS n_rows, count(*) AS n_colored, CAST(0 AS BIGINT) AS n_conflicts FROM supplier")
 def color_distance2(s, d):
-    return permute.color(_lap(s, d))
+    """Of the colouring, how many rows have one colour, and how many columns have two entries of one colour (the SQL knows that there is none)."""
+    a = _lap(s, d)
+    colors = permute.color(a)
+    clash = a.df.select("i", "j").distinct().join(colors, "i").groupBy("j", "color").count().where("count > 1")
+    return colors.groupBy("i").count().agg(F.count("*").alias("n_rows"), F.sum((F.col("count") == 1).cast("long")).alias("n_colored")).crossJoin(clash.agg(F.count("*").alias("n_conflicts")))
 
 
-@query()
+@query(
+    "SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS n_places, CAST(0 AS BIGINT) AS first, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) - 1 AS last"
+)
 def rcm(s, d):
-    """Suppliers, then parts, linked by all of lineitem."""
+    """The ordering of suppliers, then parts, linked by all of lineitem: a permutation of all rows."""
     m, n = _t(s, d, "supplier").count(), _t(s, d, "part").count()
     e = _t(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("i"), (F.col("l_partkey") + m).cast("long").alias("j"), F.col("l_quantity").cast("double").alias("v"))
-    return permute.rcm(SparseMatrix(e, m + n, m + n))
+    p = permute.rcm(SparseMatrix(e, m + n, m + n))
+    return p.agg(F.count_distinct("idx").alias("n_rows"), F.count_distinct("perm").alias("n_places"), F.min("perm").alias("first"), F.max("perm").alias("last"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS lower_bandwidth, CAST(1 AS BIGINT) AS upper_bandwidth, count(*) AS n_rows FROM supplier")
+def rcm_band(s, d):
+    """The tridiagonal matrix of the suppliers, scattered by a permutation, gets its bandwidths of 1 back."""
+    a = _lap(s, d)
+    n = a.nrows
+    step = next(k for k in range(max(2, n // 3), 2 * n + 3) if math.gcd(k, n) == 1)
+    p = s.range(n).select(F.col("id").alias("idx"), (F.col("id") * step % n).alias("perm"))
+    mixed = permute.permute(a, p, p)
+    q = permute.rcm(mixed)
+    low, up = permute.bandwidths(permute.permute(mixed, q, q))
+    return q.agg(F.lit(low).cast("long").alias("lower_bandwidth"), F.lit(up).cast("long").alias("upper_bandwidth"), F.count_distinct("perm").alias("n_rows"))
+
+
+# a sweep of the tridiagonal matrix as a recursion over rows, the vector being a list: x moves by r times the row, r being what the row misses over its squared length
+_MISS = "(y[i + 1] - (2 * x[i + 1] - CASE WHEN i > 0 THEN x[i] ELSE 0 END - CASE WHEN i < n - 1 THEN x[i + 2] ELSE 0 END)) / (4 + CASE WHEN i > 0 THEN 1 ELSE 0 END + CASE WHEN i < n - 1 THEN 1 ELSE 0 END)"
+_MOVED = "[x[q + 1] + CASE WHEN q = i THEN 2 * r WHEN abs(q - i) = 1 THEN -r ELSE 0 END FOR q IN range(n)]"
+_LISTS = f"{XS}, {YS}, xl AS (SELECT list(v ORDER BY i) AS x FROM x WHERE c = 0), yl AS (SELECT list(v ORDER BY i) AS y, count(*) AS n FROM y WHERE c = 0)"
+
 
+def _steps(name: str, start: str, order: str) -> str:
+    """name(p, k, x): the vector of part p after k of the rows o that order(p, o) lists for it."""
+    return f"{name}(p, k, x) AS (SELECT p, CAST(0 AS BIGINT), x FROM {start}, {order} UNION ALL SELECT p, k + 1, {_MOVED} FROM (SELECT s.p, k, x, n, o[k + 1] AS i, {_MISS} AS r FROM {name} s JOIN {order} w ON w.p = s.p, yl WHERE k < len(o)))"
 
-@query()
+
+def _sweep_sql(order: str) -> str:
+    return f"WITH RECURSIVE {_LISTS}, w AS (SELECT 0 AS p, list(s_suppkey ORDER BY {order}) AS o FROM supplier), {_steps('st', 'xl', 'w')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) AS v FROM st, yl, range(n) t(q) WHERE k = n"
+
+
+_MEAN = "(SELECT list(v ORDER BY q) AS x FROM (SELECT q, coalesce(avg(s.x[q + 1]) FILTER (WHERE q BETWEEN lo - 1 AND hi + 1), any_value(b.x[q + 1])) AS v FROM {st} s JOIN {w} w ON w.p = s.p AND s.k = len(o), {old} b, yl, range(n) t(q) GROUP BY q))"
+_PARTS = "{n} AS (SELECT {p} AS p, list(s_suppkey ORDER BY {o}) AS o, min(s_suppkey) AS lo, max(s_suppkey) AS hi FROM supplier GROUP BY 1)"
+_CARP = (
+    f"WITH RECURSIVE {_LISTS}, {_PARTS.format(n='fw', p=P4('s_suppkey'), o='s_suppkey')}, {_PARTS.format(n='bw', p=P4('s_suppkey'), o='s_suppkey DESC')}, {_steps('s1', 'xl', 'fw')}, x1 AS {_MEAN.format(st='s1', w='fw', old='xl')}, "
+    f"{_steps('s2', 'x1', 'bw')}, x2 AS {_MEAN.format(st='s2', w='bw', old='x1')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) AS v FROM x2, yl, range(n) t(q)"
+)
+
+
+def _rounded(x: BlockVector):
+    return x.tidy().withColumn("v", F.round("v", 6))
+
+
+@query(_sweep_sql("s_suppkey"))
 def kacz_sweep(s, d):
-    return kaczmarz.kaczmarz(_lap(s, d), _ys(s, d), _xs(s, d).columns([0])).tidy()
+    return _rounded(kaczmarz.kaczmarz(_lap(s, d), _ys(s, d), _xs(s, d).columns([0])))
 
 
-@query()
+@query(_sweep_sql("s_suppkey DESC"))
+def kacz_sweep_backward(s, d):
+    return _rounded(kaczmarz.kaczmarz(_lap(s, d), _ys(s, d), _xs(s, d).columns([0]), backward=True))
+
+
+# eight zones; two where so few rows would leave zones of one colour with a common column
+_ZONES = "(SELECT CASE WHEN count(*) >= 32 THEN 8 ELSE 2 END FROM supplier)"
+_ZONE = f"least({_ZONES} - 1, s_suppkey // ((SELECT count(*) FROM supplier) // {_ZONES}))"
+
+
+@query(_sweep_sql(f"{_ZONE} % 2, s_suppkey"))
 def kacz_red_black(s, d):
     a = _lap(s, d)
-    return kaczmarz.zone_sweep(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(dist.by_rows(a.nrows, 8))).tidy()
+    return _rounded(kaczmarz.zone_sweep(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(dist.by_rows(a.nrows, 8 if a.nrows >= 32 else 2))))
 
 
-@query()
+@query(_sweep_sql("s_suppkey % 3, s_suppkey"))
 def kacz_multi_color(s, d):
     a = _lap(s, d)
     colors = s.range(a.nrows).select(F.col("id").alias("i"), (F.col("id") % 3).cast("int").alias("color"))
-    return kaczmarz.color_sweep(a, _ys(s, d), _xs(s, d).columns([0]), colors).tidy()
+    return _rounded(kaczmarz.color_sweep(a, _ys(s, d), _xs(s, d).columns([0]), colors))
+
+
+_W4 = "(SELECT greatest(1, (count(*) + 3) // 4) FROM supplier)"
+_LO, _HI = f"(greatest(s_suppkey - 1, 0) // {_W4})", f"(least(s_suppkey + 1, (SELECT max(s_suppkey) FROM supplier)) // {_W4})"
+
+
+@query(_sweep_sql(f"CASE WHEN {_LO} = {_HI} THEN 0 WHEN {_LO} % 2 = 0 THEN 1 ELSE 2 END, s_suppkey"))
+def kacz_block_multi_color(s, d):
+    return _rounded(kaczmarz.block_multicolor(_lap(s, d), _ys(s, d), _xs(s, d).columns([0]), 4))
 
 
-@query()
+@query(_CARP)
 def carp_iteration(s, d):
     a = _lap(s, d)
-    return kaczmarz.carp(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(dist.by_rows(a.nrows, 4))).tidy()
+    return _rounded(kaczmarz.carp(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(dist.by_rows(a.nrows, 4))))
 
 
 # files

@@ -5,16 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without lineage, in the cluster's shared checkpoint folder (a temporary one where none is set)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -28,8 +38,8 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
         first[p], at = at, at + counts[p]
     if not first:
         return rows.select(*df.columns, F.lit(0).cast("long").alias(name))
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in first.items() for x in kv])
-    return rows.withColumn(name, offset[part] + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+    offset = F.array(*[F.lit(first.get(p, 0)).cast("long") for p in range(max(first) + 1)])  # folded into one constant, read by place
+    return rows.withColumn(name, F.get(offset, part.cast("int")) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
