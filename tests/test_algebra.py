@@ -6,12 +6,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veldt.operators import dense, kaczmarz, permute, stats
+from veldt.operators import complex_ops, dense, kaczmarz, permute, stats
 from veldt.operators import distribute as dist
 from veldt.operators.block_vector import BlockVector
 from veldt.operators.matrix import SparseMatrix
 from veldt.operators.spmv import SpmvOpts, spmv
-from veldt.plans import catalog, timing
+from veldt.plans import errors, timing
 from veldt.plans.dtypes import DType
 from veldt.sources import formats
 
@@ -368,6 +368,28 @@ def test_binary_files(spark, tmp_path, split):
         formats.read_bincrs(spark, str(tmp_path / "a.crs"))
 
 
+def test_complex_files(spark, tmp_path):
+    rows = [(0, 1, (3.0, -4.0)), (1, 0, (0.5, 1e-9)), (1, 1, (-2.0, 0.0))]
+    a = SparseMatrix(spark.createDataFrame(rows, "i long, j long, v struct<re:double,im:double>"), 2, 3, formats.MatrixTraits(dtype=DType.Z))
+    plain = lambda m: sorted((r["i"], r["j"], (r["v"]["re"], r["v"]["im"])) for r in m.df.collect())
+    formats.write_mm(a, str(tmp_path / "z"))
+    assert plain(formats.read_mm(spark, str(tmp_path / "z"))) == rows
+    formats.write_mm(a, str(tmp_path / "short"), precision=3, single=True)
+    files = list((tmp_path / "short").glob("part-*"))
+    assert len(files) == 1 and files[0].read_text().startswith("%%MatrixMarket matrix coordinate complex general\n2 3 3\n") and "3.00e+00 -4.00e+00" in files[0].read_text()
+    formats.write_bincrs(a, str(tmp_path / "z.crs"))
+    assert plain(formats.read_bincrs(spark, str(tmp_path / "z.crs"))) == rows
+
+
+def test_binary_files_are_whole_or_not_there(spark, tmp_path):
+    x = BlockVector(spark.range(3).select(F.col("id").alias("i"), F.array(F.lit(1.0)).alias("x")), 4, 1)  # a row is missing
+    with pytest.raises(OSError):
+        formats.write_bindense(x, str(tmp_path / "x.bin"))
+    assert not list(tmp_path.iterdir())
+    formats.write_bincrs(SparseMatrix(spark.createDataFrame([], "i long, j long, v double"), 3, 3), str(tmp_path / "e.crs"))
+    assert formats.read_bincrs(spark, str(tmp_path / "e.crs")).df.count() == 0
+
+
 # the rest
 def test_normalize_and_random(spark):
     x = np.array([[3.0, 0.0], [4.0, 0.0]])
@@ -395,3 +417,60 @@ def test_chunks_and_models(spark):
             pass
     s = t.regions["x"].summary()
     assert s["calls"] == 12 and s["min"] <= s["avg"] <= s["max"] and "avg_without_first_10" in t.report()
+
+
+def test_flops_of_mixed_types():
+    assert timing.spmv_flops(10, 1, DType.Z, matrix=DType.D) == 40 and timing.spmv_flops(10, 1, DType.Z, matrix=DType.Z) == 80
+    assert timing.gemm_bytes(2, 3, 4) == 8 * (6 + 8 + 12) and timing.gemm_bytes(2, 3, 4, beta=True) == 8 * (12 + 8 + 12)
+
+
+def test_measured_bandwidths_and_transfers(spark):
+    got = timing.bandwidths(spark, 10_000, 1)
+    assert set(got) == {"load", "store", "copy", "update", "triad"} and min(got.values()) > 0
+    t = timing.Transfers(spark)
+    with t.region("shuffle"):
+        spark.range(10_000).repartition(4, "id").count()
+    assert t.regions["shuffle"][1] > 0 and "shuffle" in t.report()
+
+
+def test_error_handlers():
+    seen = []
+    errors.set_handler(ValueError, seen.append)
+    try:
+        with pytest.raises(ValueError), errors.reported():
+            raise ValueError("x")
+        with pytest.raises(UnicodeError), errors.reported():
+            raise UnicodeError("a kind of ValueError")
+        with pytest.raises(KeyError), errors.reported():
+            raise KeyError("not handled")
+    finally:
+        errors.set_handler(ValueError, None)
+    assert [type(e) for e in seen] == [ValueError, UnicodeError]
+
+
+def test_complex_block_operations(spark):
+    x, y, w = (RNG.normal(size=(5, 2)) + 1j * RNG.normal(size=(5, 2)) for _ in range(3))
+    table = lambda m: spark.createDataFrame([(i, [(float(v.real), float(v.imag)) for v in r]) for i, r in enumerate(m)], "i long, x array<struct<re:double,im:double>>")
+
+    def back(df):
+        out = np.zeros((5, 2), complex)
+        for r in df.collect():
+            out[r["i"]] = [complex(v["re"], v["im"]) for v in r["x"]]
+        return out
+
+    a, b, c = [1 + 2j, -1j], [0.5, 2], 3 - 1j
+    assert np.allclose(back(complex_ops.axpby(table(y), a, table(x), b, 2)), x * a + y * b)
+    assert np.allclose(back(complex_ops.axpbypcz(table(y), a, table(x), b, table(w), c, 2)), x * a + y * b + w * c)
+    assert np.allclose(back(complex_ops.mult(table(y), table(x), c)), c * x * y) and np.allclose(back(complex_ops.vscale(table(x), a)), x * a)
+    assert np.allclose([r["v"] for r in complex_ops.nrm2(table(x), 2).orderBy("c").collect()], np.linalg.norm(x, axis=0))
+    with pytest.raises(ValueError):
+        complex_ops.axpby(table(y), [1], table(x), b, 2)
+
+
+def test_strided_views_and_text(spark):
+    x = RNG.normal(size=(11, 3))
+    v = vec(spark, x)
+    assert np.allclose(v.strided(1, 4, 3, 1).to_numpy(), x[1::3, 1:]) and np.allclose(v.transposed(), x.T)
+    assert len(v.to_string().splitlines()) == 11
+    with pytest.raises(ValueError):
+        v.strided(1, 5, 3)

@@ -91,6 +91,23 @@ class BlockVector:
         df = self.df.where(F.col("i").between(row0, row0 + nrows - 1)).select((F.col("i") - row0).alias("i"), F.slice("x", col0 + 1, ncols).alias("x"))
         return BlockVector(df, nrows, ncols)
 
+    def strided(self, row0: int, nrows: int, step: int, col0: int = 0, ncols: int | None = None) -> BlockVector:
+        """Every step-th row from row0 on, nrows of them, renumbered from 0."""
+        ncols = self.ncols - col0 if ncols is None else ncols
+        if step < 1 or row0 < 0 or (nrows and row0 + (nrows - 1) * step >= self.nrows) or col0 < 0 or col0 + ncols > self.ncols:
+            raise ValueError("the view leaves the vector")
+        at = F.col("i") - row0
+        df = self.df.where(at.between(0, (nrows - 1) * step) & (at % step == 0)).select((at / step).cast("long").alias("i"), F.slice("x", col0 + 1, ncols).alias("x"))
+        return BlockVector(df, nrows, ncols)
+
+    def transposed(self) -> np.ndarray:
+        """The other way round, of a vector that the driver can hold."""
+        return self.to_numpy().T
+
+    def to_string(self) -> str:
+        """Text of a small vector, a line a row."""
+        return "\n".join(" ".join(f"{v:9.2e}" for v in row) for row in self.to_numpy())
+
     def columns(self, idx: list[int]) -> BlockVector:
         check_ascending(idx, self.ncols)
         return self._map(lambda c: F.col("x")[idx[c]], len(idx))

@@ -29,6 +29,39 @@ def axpy(y: DataFrame, s: complex, x: DataFrame) -> DataFrame:
     return y.join(x.withColumnRenamed("x", "b"), "i").select("i", F.zip_with("x", "b", lambda p, q: z.add(p, z.mul(q, z.lit(s)))).alias("x"))
 
 
+def _per_column(s, k: int) -> list[complex]:
+    out = list(s) if isinstance(s, (list, tuple)) else [s] * k
+    if len(out) != k:
+        raise ValueError(f"{k} scalars are needed")
+    return out
+
+
+def vscale(x: DataFrame, s: list[complex]) -> DataFrame:
+    return x.select("i", F.array(*[z.mul(F.col("x")[c], z.lit(v)) for c, v in enumerate(s)]).alias("x"))
+
+
+def axpby(y: DataFrame, a, x: DataFrame, b, k: int) -> DataFrame:
+    """a x + b y; a and b are numbers, or one for each of the k columns."""
+    a, b = _per_column(a, k), _per_column(b, k)
+    both = y.join(x.withColumnRenamed("x", "o"), "i")
+    return both.select("i", F.array(*[z.add(z.mul(F.col("o")[c], z.lit(a[c])), z.mul(F.col("x")[c], z.lit(b[c]))) for c in range(k)]).alias("x"))
+
+
+def axpbypcz(y: DataFrame, a, x: DataFrame, b, w: DataFrame, c, k: int) -> DataFrame:
+    """a x + b y + c w."""
+    return axpby(axpby(y, a, x, b, k), c, w, 1, k)
+
+
+def mult(y: DataFrame, x: DataFrame, s: complex = 1) -> DataFrame:
+    """s x y, place by place."""
+    return y.join(x.withColumnRenamed("x", "o"), "i").select("i", F.zip_with("x", "o", lambda p, q: z.mul(z.mul(p, q), z.lit(s))).alias("x"))
+
+
+def nrm2(x: DataFrame, k: int) -> DataFrame:
+    """(c, v): the length of each column."""
+    return dot(x, x, k).select("c", F.sqrt("re").alias("v"))
+
+
 def dot(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
     """(c, re, im) of the sums of conj(x) y."""
     df = x.join(y.withColumnRenamed("x", "b"), "i")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,6 +19,7 @@ from ..operators import distribute as dist
 from ..operators.block_vector import BlockVector, reduce_parts
 from ..operators.matrix import SparseMatrix
 from ..operators.spmv import SpmvOpts, spmv
+from .util import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,6 +137,12 @@ def spmv_chain(s, d):
     return spmv(_lap(s, d), _xs(s, d), SpmvOpts(beta=2, chain=(4, 3)), _ys(s, d), _ys(s, d)).z.tidy()
 
 
+@query(f"WITH {LAP}, {XS}, o AS (SELECT a.i, a.j, a.v FROM a WHERE {P4('i')} = {P4('j')}) SELECT o.i, x.c, sum(o.v * x.v) AS v FROM o JOIN x ON o.j = x.i GROUP BY 1, 2")
+def spmv_nocomm(s, d):
+    a = _lap(s, d)
+    return spmv(a, _xs(s, d), SpmvOpts(mode="nocomm", part=dist.owner(dist.by_rows(a.nrows, 4)))).y.tidy()
+
+
 @query(f"WITH {LAP}, {XS}, {YS}, {AX} SELECT ax.c, sum(ax.v * ax.v) AS yy, sum(x.v * ax.v) AS xy, sum(x.v * x.v) AS xx FROM ax JOIN x ON ax.i = x.i AND ax.c = x.c GROUP BY 1")
 def spmv_dots(s, d):
     return spmv(_lap(s, d), _xs(s, d), SpmvOpts(dots=True)).dots
@@ -400,6 +406,38 @@ def complex_spmv(s, d):
     return _flat(cx.spmv(a, _z(s, d), 4, n))
 
 
+def _unsigned(df):
+    """Zeros without a sign, as products may give either."""
+    return df.withColumn("re", F.col("re") + F.lit(0.0)).withColumn("im", F.col("im") + F.lit(0.0))
+
+
+_Z2 = _Z + ", w AS (SELECT i, c, -im AS re, re AS im FROM z)"
+
+
+@query(f"WITH {_Z2} SELECT z.i, z.c, (CASE z.c % 2 WHEN 0 THEN z.re ELSE -z.im END) + 2 * w.re + 0e0 AS re, (CASE z.c % 2 WHEN 0 THEN z.im ELSE z.re END) + 2 * w.im + 0e0 AS im FROM z JOIN w ON z.i = w.i AND z.c = w.c")
+def complex_vaxpby(s, d):
+    """Even columns times 1, odd ones times the imaginary unit, plus twice the vector turned by it."""
+    x = _z(s, d)
+    return _unsigned(_flat(cx.axpby(cx.scale(x, 1j), [1, 1j, 1, 1j], x, 2, 4)))
+
+
+@query(f"WITH {_Z2} SELECT z.i, z.c, z.re * w.re - z.im * w.im + 0e0 AS re, z.re * w.im + z.im * w.re + 0e0 AS im FROM z JOIN w ON z.i = w.i AND z.c = w.c")
+def complex_mult(s, d):
+    x = _z(s, d)
+    return _unsigned(_flat(cx.mult(cx.scale(x, 1j), x)))
+
+
+@query(f"WITH {_Z2} SELECT z.i, z.c, 2 * z.re + 3 * w.re - z.re AS re, 2 * z.im + 3 * w.im - z.im AS im FROM z JOIN w ON z.i = w.i AND z.c = w.c")
+def complex_axpbypcz(s, d):
+    x = _z(s, d)
+    return _flat(cx.axpbypcz(cx.scale(x, 1j), 2, x, 3, x, -1, 4))
+
+
+@query(f"WITH {_Z} SELECT c, round(sqrt(sum(re * re + im * im)), 6) AS v FROM z GROUP BY 1")
+def complex_nrm2(s, d):
+    return cx.nrm2(_z(s, d), 4).withColumn("v", F.round("v", 6))
+
+
 # permutations
 _PERM = f"WITH {SP}, n AS (SELECT i, count(*) AS n FROM a GROUP BY 1), p AS (SELECT s_suppkey AS idx, s_suppkey // 16 * 16 + row_number() OVER (PARTITION BY s_suppkey // 16 ORDER BY coalesce(n, 0) DESC, s_suppkey) - 1 AS perm FROM supplier LEFT JOIN n ON i = s_suppkey)"
 
@@ -700,6 +738,18 @@ def kacz_block_multi_color(s, d):
     return _rounded(kaczmarz.block_multicolor(_lap(s, d), _ys(s, d), _xs(s, d).columns([0]), 4))
 
 
+# the same recursion with A - 1/2 I: the diagonal is 3/2
+_SHIFTED = _sweep_sql("s_suppkey").replace("2 * x[i + 1]", "1.5 * x[i + 1]").replace("/ (4 +", "/ (2.25 +").replace("THEN 2 * r", "THEN 1.5 * r")
+
+
+@query(_SHIFTED)
+def kacz_shifted_sweep(s, d):
+    x = _xs(s, d).columns([0]).df.select("i", F.lit(0).alias("k"), F.col("x")[0].alias("re"), F.lit(0.0).alias("im"))
+    b = _ys(s, d).df.select("i", F.col("x")[0].alias("re"), F.lit(0.0).alias("im"))
+    got = kaczmarz.shifted_part_sweep(_lap(s, d), b, x, [0.5], lambda i: F.lit(0))
+    return got.select("i", F.lit(0).alias("c"), F.round("re", 6).alias("v"))
+
+
 @query(_CARP)
 def carp_iteration(s, d):
     a = _lap(s, d)
@@ -707,15 +757,18 @@ def carp_iteration(s, d):
 
 
 # files
-def _tmp(name: str) -> str:
-    return os.path.join(tempfile.mkdtemp(), f"{name}-{uuid.uuid4().hex}")
+def _tmp(s, name: str) -> str:
+    """A new place in the folder that all share."""
+    at = os.path.join(shared_folder(s).removeprefix("file://").removeprefix("file:"), "files")
+    os.makedirs(at, exist_ok=True)
+    return os.path.join(at, f"{name}-{uuid.uuid4().hex}")
 
 
 @query(f"WITH {SP} SELECT i, j, sum(v) AS v FROM a GROUP BY 1, 2")
 def matrix_market_roundtrip(s, d):
     from ..sources import formats
 
-    formats.write_mm(_items(s, d, "l_suppkey", "supplier").coalesce_duplicates(), p := _tmp("mm"))
+    formats.write_mm(_items(s, d, "l_suppkey", "supplier").coalesce_duplicates(), p := _tmp(s, "mm"))
     return formats.read_mm(s, p).df
 
 
@@ -723,7 +776,7 @@ def matrix_market_roundtrip(s, d):
 def bincrs_roundtrip(s, d):
     from ..sources import formats
 
-    formats.write_bincrs(_lap(s, d), p := _tmp("crs"))
+    formats.write_bincrs(_lap(s, d), p := _tmp(s, "crs"))
     return formats.read_bincrs(s, p, 30).df
 
 
@@ -731,5 +784,5 @@ def bincrs_roundtrip(s, d):
 def bindense_roundtrip(s, d):
     from ..sources import formats
 
-    formats.write_bindense(_emb(s, d), p := _tmp("dense"))
+    formats.write_bindense(_emb(s, d), p := _tmp(s, "dense"))
     return formats.read_bindense(s, p, 100).tidy()

@@ -1,6 +1,7 @@
 """MatrixMarket, binary CRS and binary dense files: readers as Python data sources that split by rows, and writers.
 
-Readers take paths that Python can open on every executor. Layouts: binary CRS has 5 int32 (endianness, version, base, symmetry,
+Readers take paths that Python can open on every executor, and so do the writers of binary files: executors write their rows into the one file, each
+batch at the place that its numbers give, so that a repeated task writes the same again; it is renamed when it is whole. Layouts: binary CRS has 5 int32 (endianness, version, base, symmetry,
 data type) and 3 int64 (rows, columns, entries), then row pointers, columns and values; binary dense has 4 int32 (endianness, version, order,
 data type) and 2 int64 (rows, columns), then the values.
 """
@@ -8,6 +9,7 @@ data type) and 2 int64 (rows, columns), then the values.
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.block_vector import BlockVector
 from ..operators.matrix import SparseMatrix
 from ..plans.dtypes import DType, MatrixTraits, Symmetry
-from ..plans.util import prefix_sum
+from ..plans.util import cut, global_rank, prefix_sum
 
 CRS_HEAD, DENSE_HEAD = 44, 32
 SPLIT_ROWS = 1 << 20
@@ -64,12 +66,16 @@ def read_mm(spark: SparkSession, path: str, transpose: bool = False, want: DType
     return a.transpose() if transpose else a
 
 
-def write_mm(a: SparseMatrix, path: str, precision: int = 17) -> None:
-    """One text file a partition under path: the first holds the head, and all together are one file in order of names."""
-    n = a.nnz()
-    head = a.df.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{a.nrows} {a.ncols} {n}",)], "value string")
-    body = a.df.select(F.format_string(f"%d %d %.{precision - 1}e", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
-    head.coalesce(1).unionAll(body).write.mode("overwrite").text(path)
+def write_mm(a: SparseMatrix, path: str, precision: int = 17, single: bool = False) -> None:
+    """One text file a partition under path: the first holds the head, and all together are one file in order of names; single: one partition, for matrices that fit a
+    task. Complex entries take two numbers. precision: digits of a number; 17 lose nothing, 3 are those of short listings."""
+    pair = dict(a.df.dtypes)["v"].startswith("struct")
+    kind, number = "complex" if pair else "real", f"%.{precision - 1}e"
+    head = a.df.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate {kind} general\n{a.nrows} {a.ncols} {a.nnz()}",)], "value string")
+    values = [F.col("v.re"), F.col("v.im")] if pair else [F.col("v")]
+    body = a.df.select(F.format_string(" ".join(["%d %d", *[number] * len(values)]), F.col("i") + 1, F.col("j") + 1, *values).alias("value"))
+    out = head.coalesce(1).unionAll(body.coalesce(1) if single else body)
+    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
 # binary CRS
@@ -157,27 +163,67 @@ def read_bincrs(spark: SparkSession, path: str, split_rows: int = SPLIT_ROWS) ->
     return SparseMatrix(spark.read.format("bincrs").option("splitrows", split_rows).load(path), h["nrows"], h["ncols"], MatrixTraits(dtype=h["dtype"]))
 
 
-def _append_batches(df: DataFrame, f, write) -> None:
-    """Rows in order through the driver, a partition at a time: one local file can't be written by many."""
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        write(f, r)
+class _Target:
+    """A file under a temporary name, of its full size from the start."""
+
+    def __init__(self, path: str, head: list[np.ndarray], size: int):
+        self.path, self.part = path, f"{path}.{uuid.uuid4().hex}.part"
+        with open(self.part, "wb") as f:
+            for x in head:
+                x.tofile(f)
+            f.truncate(size)
+
+    def fill(self, df: DataFrame, key: str, base: int, width: int, raw) -> int:
+        """Executors put each row's bytes, raw(batch) giving those of all rows of a batch, to base + width * key. Returns how many rows were written."""
+        part = self.part
+
+        def run(batches):
+            n = 0
+            with open(part, "r+b") as f:
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    at = b.column(key).to_numpy()
+                    order = np.argsort(at, kind="stable")
+                    rows, at = np.frombuffer(raw(b), f"V{width}")[order], at[order]
+                    cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+                    for s, e in zip(cuts, cuts[1:], strict=False):  # one write for each run of neighbours
+                        f.seek(base + width * int(at[s]))
+                        f.write(rows[s:e].tobytes())
+                    n += len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+        return df.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+    def done(self, whole: bool) -> None:
+        if not whole:
+            os.unlink(self.part)
+            raise OSError(f"{self.path} could not be written whole")
+        os.replace(self.part, self.path)
+
+
+def _raw(col: pa.Array, dtype: DType) -> bytes:
+    if dtype.is_complex:
+        return (col.field("re").to_numpy() + 1j * col.field("im").to_numpy()).astype("<" + dtype.numpy).tobytes()
+    return col.to_numpy().astype("<" + dtype.numpy).tobytes()
 
 
 def write_bincrs(a: SparseMatrix, path: str) -> None:
-    """One file; row pointers come from sums over blocks of rows."""
+    """One file; an entry's place is its rank by row and column, a row pointer's comes from sums over blocks of rows."""
     from ..operators.distribute import row_lengths
 
-    d, n = a.traits.dtype, a.nnz()
-    rpt = prefix_sum(row_lengths(a), "i", "len", "before").orderBy("i")
-    ordered = a.df.orderBy("i", "j")
-    with open(path, "wb") as f:
-        np.array([0, 1, 0, Symmetry.GENERAL.value, d.value], "<i4").tofile(f)
-        np.array([a.nrows, a.ncols, n], "<i8").tofile(f)
-        put = lambda kind, get: lambda g, r: g.write(np.array(get(r), kind).tobytes())
-        _append_batches(rpt.select("before"), f, put("<i8", lambda r: r[0]))
-        f.write(np.array(n, "<i8").tobytes())
-        _append_batches(ordered.select("j"), f, put("<i8", lambda r: r[0]))
-        _append_batches(ordered.select("v"), f, put("<" + d.numpy, lambda r: complex(r[0]["re"], r[0]["im"]) if d.is_complex else r[0]))
+    d = a.traits.dtype
+    ranked = cut(global_rank(a.df, "i", "j", *(["v.re", "v.im"] if d.is_complex else ["v"])))
+    n = ranked.count()
+    rpt = prefix_sum(row_lengths(a), "i", "len", "before").select("i", F.col("before").cast("long").alias("before"))
+    at = CRS_HEAD + 8 * (a.nrows + 1)
+    f = _Target(path, [np.array([0, 1, 0, Symmetry.GENERAL.value, d.value], "<i4"), np.array([a.nrows, a.ncols, n], "<i8")], at + (8 + d.size) * n)
+    longs = lambda c: lambda b: b.column(c).to_numpy().astype("<i8").tobytes()
+    last = a.df.sparkSession.range(1).select(F.lit(a.nrows).cast("long").alias("i"), F.lit(n).cast("long").alias("before"))
+    rows = f.fill(rpt.unionAll(last), "i", CRS_HEAD, 8, longs("before"))
+    cols = f.fill(ranked.select("rank", "j"), "rank", at, 8, longs("j"))
+    values = f.fill(ranked.select("rank", "v"), "rank", at + 8 * n, d.size, lambda b: _raw(b.column("v"), d))
+    f.done((rows, cols, values) == (a.nrows + 1, n, n))
 
 
 # binary dense
@@ -235,7 +281,6 @@ def read_bindense(spark: SparkSession, path: str, split_rows: int = SPLIT_ROWS)
 
 def write_bindense(x: BlockVector, path: str, dtype: DType = DType.D) -> None:
     """One row-major file."""
-    with open(path, "wb") as f:
-        np.array([0, 1, 0, dtype.value], "<i4").tofile(f)
-        np.array([x.nrows, x.ncols], "<i8").tofile(f)
-        _append_batches(x.df.orderBy("i").select("x"), f, lambda g, r: g.write(np.array(r[0], "<" + dtype.numpy).tobytes()))
+    width = dtype.size * x.ncols
+    f = _Target(path, [np.array([0, 1, 0, dtype.value], "<i4"), np.array([x.nrows, x.ncols], "<i8")], DENSE_HEAD + width * x.nrows)
+    f.done(f.fill(x.df.orderBy("i").select("i", "x"), "i", DENSE_HEAD, width, lambda b: _raw(b.column("x").flatten(), dtype)) == x.nrows)
