@@ -107,10 +107,12 @@ def test_near_copies_are_those_of_plain_sets(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()} == set(want.values())
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("max_local", [10**6, 0])
+def test_components_of_chains_and_stars(spark, max_local):
     rng = random.Random(5)
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 400)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(150)]
-    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(links, "a long, b long"), max_local=max_local).collect()}
+    assert components(spark.createDataFrame([], "a long, b long"), max_local=max_local).count() == 0
     want = groups(sorted({n for x in links for n in x}), links)
     assert got == {n: m for n, m in want.items() if n != m}
 
