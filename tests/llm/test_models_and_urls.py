@@ -107,18 +107,24 @@ def test_urls(spark, mb):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[0] + best[1], verdict), urls[r["page_id"]]
 
 
-def test_false_positives_go(spark):
+def test_false_positives_go(spark, monkeypatch):
     """One block for 3000 keys passes nearly everything; the join still tells them apart."""
     listed = spark.range(3000).select(F.concat(F.lit("a"), "id").alias("canon"))
     pages = spark.range(6000).select("id", F.concat(F.lit("a"), "id").alias("canon"))
-    old, url_filter.n_blocks_for = url_filter.n_blocks_for, lambda n: 1
-    try:
-        hit, rest = url_filter.filter_by_list(pages, listed)
-        assert sorted(r["id"] for r in hit.collect()) == list(range(3000)) and rest.count() == 3000
-    finally:
-        url_filter.n_blocks_for = old
-    hit, rest = url_filter.filter_by_list(pages, listed.limit(0))
-    assert hit.count() == 0 and rest.count() == 6000
+    with monkeypatch.context() as m:
+        m.setattr(url_filter, "n_blocks_for", lambda n: 1)
+        got = url_filter.mark_listed(pages, listed).collect()
+    assert len(got) == 6000 and sorted(r["id"] for r in got if r["on_list"]) == list(range(3000))
+    got = url_filter.mark_listed(pages, listed.limit(0)).collect()
+    assert len(got) == 6000 and not any(r["on_list"] for r in got)
+
+
+def test_long_urls_and_empty_tables(spark):
+    long = "http://h.com/" + "p/" * 50_000
+    pages = spark.createDataFrame([(1, long + "x"), (2, long + "y"), (3, long + "y?" + "q" * 50_000), (3, long + "y")], "page_id long, url string")
+    one = spark.createDataFrame([(long + "y/",)], "url string")
+    assert sorted((r["page_id"], r["verdict"], len(r["path"])) for r in url_filter.judge_urls(pages, one).collect()) == [(1, "allow", 100_002), (2, "block", 100_002), (3, "block", 100_002), (3, "block", 100_002)]
+    assert url_filter.judge_urls(pages.limit(0), one).count() == 0 and url_filter.judge_urls(pages, one.limit(0)).where("verdict = 'block'").count() == 0
 
 
 # secret scans

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: A-Z become lower case, all else stays.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Entries at which a worker's memo of words is emptied.
-MEMO_MAX = 400_000
+MEMO_MAX = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +31,17 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python: keep Arrow batches to a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts go to Python: Arrow batches are to have few rows. The option counts when a plan runs, so that it is only ever lowered."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some `most` bytes, or a row, so that what Python makes of one stays small beside long texts too."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for s in range(0, b.num_rows, step):
+            yield b.slice(s, step)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
@@ -40,10 +50,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cols = fn(b)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (cols[n] for n in names)], names)
+        for b in slices(batches):
+            cols = fn(b)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (cols[n] for n in names)], names)
 
     return df.mapInArrow(run, schema)
 
@@ -66,20 +75,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SCOPE: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a Parquet table in the shared folder: smaller than a checkpoint, and read by columns. clean() removes it."""
+    """df with its lineage cut, by a Parquet table in the shared folder: smaller than a checkpoint, and read by columns. Within scratch() it is removed at the end."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    at = "/".join([shared_folder(spark), spark.sparkContext.applicationId, *_SCOPE, uuid.uuid4().hex])
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def clean(spark: SparkSession) -> None:
-    """Removes what stored() has written for this application; results that rest on it must have been written before."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """What stored() writes inside is removed at the end; results that rest on it must have been written by then."""
+    _SCOPE.append(f"scratch-{uuid.uuid4().hex}")
+    at = "/".join([shared_folder(spark), spark.sparkContext.applicationId, *_SCOPE])
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+        remove(spark, at)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores if df has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -60,7 +60,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.parts: dict[str, int] = {}  # runs of lower-case letters, of signs, and other words, to their rows
-        self.first, self.size, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "<u4")
+        self.first, self.size, self.flat = np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "<u4")
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the place where each text's ids begin (and where the last ones end)."""
@@ -84,13 +84,16 @@ class Encoder:
         simple = cut.is_valid()
         letters, signs = self._rows(pc.utf8_lower(pc.struct_field(cut, "letters").filter(simple)), True), self._rows(pc.struct_field(cut, "signs").filter(simple))
         other = self._rows(coded.dictionary.filter(pc.invert(simple)))
-        rows = np.full((len(coded.dictionary), 2), self._rows(pa.array([""]))[0])  # no ids
+        rows = np.full((len(coded.dictionary), 2), self._rows(pa.array([""]))[0], "i4")  # no ids
         at = simple.to_numpy(zero_copy_only=False)
         rows[at, 0], rows[at, 1], rows[~at, 0] = letters, signs, other
         rows = rows[coded.indices.to_numpy()].ravel()
         size = self.size[rows]
-        upto = np.r_[0, np.cumsum(size)]
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.first[rows] - upto[:-1], size)]
+        upto = np.zeros(len(rows) + 1, "i8" if len(rows) > 1 << 24 else "i4")
+        np.cumsum(size, out=upto[1:])
+        at = np.repeat(self.first[rows] - upto[:-1], size)
+        at += np.arange(len(at), dtype=at.dtype)
+        ids = self.flat[at]
         cuts = upto[2 * (ends - ends[0])]
         if whole:
             parts = [whole.get(k, ids[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
@@ -105,10 +108,10 @@ class Encoder:
         if new:
             ids, size = self._letters(new) if letters else self._each(new)
             memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
+            self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(size) - size).astype("i4")])
+            self.size = np.concatenate([self.size, size.astype("i4")])
             self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+        return np.fromiter(map(memo.__getitem__, own), "i4", len(own))[coded.indices.to_numpy()]
 
     def _letters(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """In one call: each run of letters ends with the one token that ends a word."""

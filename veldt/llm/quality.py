@@ -11,7 +11,9 @@ Counts per stratum and step are sums over all labelled documents; only that tabl
 A stratum with too few labels certifies nothing and rejects nothing beyond the base.
 
 Defined cases: a null or empty text has no words and fails the base; a null lang is a stratum of its own; null labels
-don't count, repeated labels count each; a document without doc_id is judged like any other; a stratum unseen in the labels keeps all.
+don't count, repeated labels count each; a document without doc_id is judged like any other; a stratum unseen in the labels keeps all; texts of any length
+count whole; a ratio equal to its cutoff stays; repeated rows get equal verdicts; empty tables give no rows and no cutoffs; other columns are left out, whatever their
+names, or kept by the stage.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, small_batches, table
+from .common import checkpointed, map_arrow, slices, small_batches, table
 
 _WS, _SYM = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MIN_WORDS = 50
@@ -151,7 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 x = text_features(t)

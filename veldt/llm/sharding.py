@@ -9,7 +9,8 @@ Slots within a shard are numbered in two steps, so that no task holds a whole sh
 and rows are numbered within their bucket.
 
 Defined cases: a null doc_id is a key like any other; a null text has no bytes (size 16, crc 0); repeated doc_ids share a
-shard and get slots of their own; equal texts go where their own keys say.
+shard and get slots of their own; equal texts go where their own keys say; texts of any length count whole; an empty table gives no rows; other columns are left
+out, whatever their names. Ties of scores go to the smaller shard.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ forest of the links it found, never the pairs; components join those forests.
 k grows with the number of fingerprints (a count), so that groups stay small at any size; it changes the cost alone, not the links.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle are one
-shingle; repeated rows and equal texts share a fingerprint; a row without doc_id gets its fingerprint, and a
-component_id only from rows that have a doc_id.
+shingle; texts of any length count whole; repeated rows and equal texts share a fingerprint; a row without doc_id gets its fingerprint, and a
+component_id only from rows that have a doc_id; an empty table gives no rows; other columns are left out, whatever their names, or kept by the stage.
 
 The pipeline's stage needs links at a shingle similarity of 0.8, where fingerprints differ in about 10 bits, beyond any radius that blocks
 can search: it takes shingle_sets instead.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, checkpointed, free_name, map_arrow, small_batches, table
+from .common import ASCII_LOWER, apart, checkpointed, free_name, map_arrow, table
 from .components import components
 from .shingle_sets import near_copies
 
@@ -142,7 +142,6 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: t
     rows = dealt.select(cell.alias("cell"), "c", "k", F.col("t.lo.p").alias("p0"), F.col("t.lo.s").alias("s0"), F.col("t.hi.p").alias("p1"), F.col("t.hi.s").alias("s1"), F.col("t.side").alias("side"), "fp", "rep")
     by = ["cell", "c", "k", "p0", "s0", "p1", "s1"]
     rows = rows.repartition("cell").sortWithinPartitions(*by)
-    small_batches(fps.sparkSession, 10_000)
 
     def run(batches):
         kept = None  # the last cell may go on in the next batch

@@ -12,7 +12,8 @@ In op5 the list is that of the pages whose page_id is divisible by 100 (a stated
 canonical URL of any of them are blocked where no rule fits.
 
 Defined cases: a null url, or one without ://, has empty host, path and canonical form, matches no rule and no list entry and is
-allowed; repeated rows get equal verdicts; nulls in the list are dropped. Rules of equal length are taken in text order.
+allowed; repeated rows get equal verdicts; nulls in the list are dropped; very long URLs count whole; an empty table gives no rows, an empty list blocks
+nothing; other columns are left out, whatever their names. Rules of equal length are taken in text order.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, stored, table
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -70,9 +71,9 @@ def n_blocks_for(n: int, bits_per_key: int = 20) -> int:
     return max(1, -(-n * bits_per_key // 256))
 
 
-def filter_by_list(pages: DataFrame, listed: DataFrame, max_filter_mb: int = 64) -> tuple[DataFrame, DataFrame]:
-    """pages(canon, ...) as those on listed(canon) and the rest, exactly."""
-    listed = listed.where((F.col("canon") != "") & F.col("canon").isNotNull()).distinct()
+def mark_listed(pages: DataFrame, listed: DataFrame, max_filter_mb: int = 64) -> DataFrame:
+    """pages(canon, ...) with on_list: whether listed(canon) holds it, exactly. Only possible hits meet the list itself."""
+    listed = stored(listed.where((F.col("canon") != "") & F.col("canon").isNotNull()).select("canon").distinct())
     n = n_blocks_for(listed.count())
     blocks = bloom_blocks(listed, n)
     if n * 64 <= max_filter_mb << 20:  # a row of five longs
@@ -83,11 +84,9 @@ def filter_by_list(pages: DataFrame, listed: DataFrame, max_filter_mb: int = 64)
     maybe = F.lit(True)
     for i in range(4):
         maybe &= F.coalesce(F.col(f"w{i}").bitwiseAND(F.col(f"__{i + 1}")) == F.col(f"__{i + 1}"), F.lit(False))
-    seen = seen.withColumn("__maybe", maybe)
-    key = listed.select(F.concat(F.lit("="), "canon").alias("__key"))  # in this guise a hot key's partition may be split
-    exact = seen.where("__maybe").select(*cols, F.concat(F.lit("="), "canon").alias("__key")).join(key.withColumn("__listed", F.lit(True)), "__key", "left")
-    hit = exact.where("__listed").select(*cols)
-    return hit, seen.where(~F.col("__maybe")).select(*cols).unionAll(exact.where("__listed is null").select(*cols))
+    key = listed.select(F.concat(F.lit("="), "canon").alias("__key"), F.lit(True).alias("__listed"))  # in this guise a hot key's partition may be split
+    exact = seen.where(maybe).select(*cols, F.concat(F.lit("="), "canon").alias("__key")).join(key, "__key", "left").select(*cols, F.coalesce("__listed", F.lit(False)).alias("on_list"))
+    return exact.unionAll(seen.where(~maybe).select(*cols, F.lit(False).alias("on_list")))
 
 
 def judge_urls(pages: DataFrame, listed_urls: DataFrame, rules=RULES, max_filter_mb: int = 64) -> DataFrame:
@@ -98,9 +97,8 @@ def judge_urls(pages: DataFrame, listed_urls: DataFrame, rules=RULES, max_filter
     listed = listed_urls.select(lh.alias("h"), lp.alias("p")).select(canonical(F.col("h"), F.col("p")).alias("canon"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = parts.select("page_id", "host", "path", "canon", rule.alias("rule"), verdict.alias("verdict"))
-    hit, rest = filter_by_list(ruled, listed, max_filter_mb)
-    done = lambda df, v: df.withColumn("verdict", F.coalesce("verdict", F.lit(v))).drop("canon")
-    return done(hit, "block").unionAll(done(rest, "allow"))
+    by_list = F.when(F.col("on_list"), "block").otherwise("allow")
+    return mark_listed(ruled, listed, max_filter_mb).withColumn("verdict", F.coalesce("verdict", by_list)).drop("canon", "on_list")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
