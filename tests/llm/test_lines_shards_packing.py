@@ -58,7 +58,7 @@ def test_lines_keep_other_columns(spark):
 # sharding
 def test_shards(spark):
     rows = odd_rows() + [(k, f"text {k}") for k in range(100, 3100)]
-    got = sharding.with_slots(sharding.assign_shards(docs(spark, rows, ("shard", "slot", "__b", "size"))), 16).collect()
+    got = sharding.with_slots(sharding.assign_shards(docs(spark, rows, ("shard", "slot", "__at", "size")))).collect()
     assert len(got) == len(rows)
     by = defaultdict(list)
     place = {}
@@ -83,6 +83,16 @@ def test_shards_follow_weights(spark):
         sharding.rendezvous(F.col("id"), [1.0, 0.0])
 
 
+def test_slots_beside_a_hot_key(spark):
+    """Half of all rows are one row repeated; no window of the plan holds more of them than one partition does."""
+    rows = [(7, "the same")] * 3000 + [(k, f"text {k}") for k in range(3000)]
+    d = docs(spark, rows).repartition(8)
+    by = defaultdict(list)
+    for r in sharding.with_slots(sharding.assign_shards(d)).collect():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 6000
+
+
 def test_shards_of_an_empty_table(spark):
     assert sharding.with_slots(sharding.assign_shards(spark.createDataFrame([], SCHEMA))).count() == 0
 

@@ -4,9 +4,9 @@ Every shard scores every key, score = -weight / ln(u) with u a hash of (key, sha
 holds the record. A shard's share follows its weight; a new shard takes rows only into itself, a removed one gives up
 only its own. The law that holds is `key`: doc_id and the shards decide, nothing else.
 
-Slots within a shard are numbered in two steps, so that no task holds a whole shard: rows are counted by
-(shard, bucket of a hash of key, size and checksum), a running sum over that table of fixed size (shards x buckets) gives each bucket's first slot,
-and rows are numbered within their bucket.
+Slots within a shard are numbered in two steps, so that no task holds a whole shard: rows are counted by (shard, partition that they lie in), a running
+sum over that small table gives each pair's first slot, and rows are numbered within their pair, which holds a partition's rows at most, whatever
+their keys and texts are.
 
 Defined cases: a null doc_id is a key like any other; a null text has no bytes (size 16, crc 0); repeated doc_ids share a
 shard and get slots of their own; equal texts go where their own keys say; texts of any length count whole; an empty table gives no rows; other columns are left
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, free_name, table
 
 SHARDS = 40
 
@@ -50,16 +50,17 @@ def assign_shards(docs: DataFrame, weights: list[float] | None = None, grown_wei
     )
 
 
-def with_slots(rows: DataFrame, buckets: int = 256) -> DataFrame:
+def with_slots(rows: DataFrame) -> DataFrame:
     """rows with slot: gapless from 0 within each shard."""
-    b = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int")  # rows of one doc_id part by text
-    counts = rows.groupBy("shard", b.alias("__b")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    own = Window.partitionBy("shard", "__b").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("__b", b).withColumn("__rn", F.row_number().over(own) - 1)
-    # shards x buckets rows at most, whatever the input
-    return numbered.join(F.broadcast(first), ["shard", "__b"]).withColumn("slot", F.col("__first") + F.col("__rn")).drop("__b", "__rn", "__first")
+    at, n, first, part = (free_name(rows, x) for x in ("__at", "__n", "__first", "__part"))
+    held = checkpointed(rows).withColumn(at, F.monotonically_increasing_id())  # the same again if a task is repeated: a checkpoint's partitions are fixed
+    held = held.withColumn(part, F.shiftright(at, 33))
+    counts = held.groupBy("shard", part).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("shard", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    own = Window.partitionBy("shard", part).orderBy(at)
+    numbered = held.withColumn(n, F.row_number().over(own) - 1)
+    return numbered.join(start, ["shard", part]).select(*rows.columns, (F.col(first) + F.col(n)).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
