@@ -210,6 +210,22 @@ def test_rcm_is_the_same_in_one_piece_and_by_levels(spark):
     assert by_levels == {r["idx"]: r["perm"] for r in permute.rcm(a).collect()} and sorted(by_levels.values()) == list(range(60))
 
 
+def test_graph_parts_cut_few_edges(spark):
+    """Of a shuffled grid: even parts, with fewer entries between them than parts by shuffled rows have; also as an ordering."""
+    n = 12
+    shuffled = spark.range(n * n).select(F.col("id").alias("idx"), (F.col("id") * 7 % (n * n)).alias("perm"))
+    grid = sparse(spark, np.kron(np.eye(n), np.eye(n, k=1) + np.eye(n, k=-1)) + np.kron(np.eye(n, k=1) + np.eye(n, k=-1), np.eye(n)))
+    a = permute.permute(grid, shuffled, shuffled)
+    of = permute.graph_parts(a, 4)
+    size = {r["part"]: r["count"] for r in of.groupBy("part").count().collect()}
+    assert len(size) == 4 and max(size.values()) - min(size.values()) <= 6
+    naive = spark.range(n * n).select(F.col("id").alias("i"), F.floor(F.col("id") / 36).cast("int").alias("part"))
+    assert permute.edge_cut(a, of).first()[0] < permute.edge_cut(a, naive).first()[0] / 2
+    p = permute.order(a, ["parts", "sort"], parts=4, sigma=2)
+    assert sorted(r["perm"] for r in p.collect()) == list(range(n * n))
+    assert permute.kacz_ratio(grid) == 144 / 24
+
+
 def test_rcm_of_an_unsymmetric_pattern(spark):
     """A shuffled rectangular band is narrow again."""
     n, m = 30, 20

@@ -193,3 +193,9 @@ class BlockVector:
 def reduce_parts(df: DataFrame, ncols: int) -> DataFrame:
     """(part, i, x) to (i, x): the sum of the parts' copies."""
     return df.groupBy("i").agg(F.array(*[F.sum(F.col("x")[c]) for c in range(ncols)]).alias("x"))
+
+
+def sync_parts(df: DataFrame, root: int) -> DataFrame:
+    """(part, i, x) with the root's values in every part that holds the row; rows that the root lacks stay as they are."""
+    own = df.where(F.col("part") == root).select("i", F.col("x").alias("r"))
+    return df.join(own, "i", "left").select("part", "i", F.coalesce("r", "x").alias("x"))

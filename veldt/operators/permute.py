@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.util import cut, global_rank
+from ..plans.util import cut, global_rank, prefix_sum
 from .block_vector import BlockVector
 from .distribute import row_lengths
 from .matrix import SparseMatrix
@@ -151,6 +151,32 @@ def color_perm(colors: DataFrame) -> DataFrame:
     return global_rank(colors, "color", "i", name="perm").select(F.col("i").alias("idx"), "perm")
 
 
+def graph_parts(a: SparseMatrix, parts: int, **kw) -> DataFrame:
+    """(i, part): a partition of the rows by the graph of the symmetrised pattern: along a breadth-first order (rcm), which keeps neighbours near, into parts that are even in entries."""
+    order_ = cut(rcm(a, **kw))
+    rows = row_lengths(a).join(order_.withColumnRenamed("idx", "i"), "i").select("perm", "i", (F.col("len") + 1).alias("w"))  # a row without entries counts too
+    before = cut(prefix_sum(rows, "perm", "w", "before"))
+    total = before.agg(F.sum("w")).first()[0] or 1
+    return before.select("i", F.least(F.lit(parts - 1), F.floor(F.col("before") * parts / total)).cast("int").alias("part"))
+
+
+def edge_cut(a: SparseMatrix, of: DataFrame) -> DataFrame:
+    """(n_cut): entries whose row and column lie in two parts of of(i, part)."""
+    e = a.df.join(of, "i").join(of.select(F.col("i").alias("j"), F.col("part").alias("other")), "j")
+    return e.agg(F.coalesce(F.sum((F.col("part") != F.col("other")).cast("long")), F.lit(0)).alias("n_cut"))
+
+
+def parts_perm(of: DataFrame) -> DataFrame:
+    """Rows by part, then by row."""
+    return global_rank(of, "part", "i", name="perm").select(F.col("i").alias("idx"), "perm")
+
+
+def kacz_ratio(a: SparseMatrix) -> float:
+    """Rows over bandwidth (lower plus upper): about how many zones of two colours find room. Block multi-colours are for matrices whose ratio is below the tasks that are to run."""
+    width = sum(bandwidths(a))
+    return a.nrows / width if width else float("inf")
+
+
 def block_zones(a: SparseMatrix, zones: int) -> DataFrame:
     """(i, zone): rows within one slice of columns are its pure zone 2 s, rows over two neighbours the transition 2 s + 1, others the rest 2 zones."""
     g = a.df.groupBy("i").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
@@ -187,8 +213,8 @@ def zones_disjoint(a: SparseMatrix, offs: list[int]) -> bool:
 
 
 def order(a: SparseMatrix, names: list[str], **kw) -> DataFrame:
-    """A chain of orderings in the given order: rcm, color, block, sort; any callable is an ordering of one's own."""
-    own = {"rcm": rcm, "color": lambda m: color_perm(color(m)), "block": lambda m: zone_perm(block_zones(m, kw.get("zones", 4))), "sort": lambda m: sort_sigma(m, kw.get("sigma", 32))}
+    """A chain of orderings in the given order: parts (a partition by the graph), rcm, color, block, sort; any callable is an ordering of one's own."""
+    own = {"rcm": rcm, "parts": lambda m: parts_perm(graph_parts(m, kw.get("parts", 4))), "color": lambda m: color_perm(color(m)), "block": lambda m: zone_perm(block_zones(m, kw.get("zones", 4))), "sort": lambda m: sort_sigma(m, kw.get("sigma", 32))}
     total, cur = None, a
     for n in names:
         p = cut((n if callable(n) else own[n])(cur))

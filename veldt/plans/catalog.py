@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import complex_ops as cx
 from ..operators import dense, kaczmarz, permute, stats
 from ..operators import distribute as dist
-from ..operators.block_vector import BlockVector, reduce_parts
+from ..operators.block_vector import BlockVector, reduce_parts, sync_parts
 from ..operators.matrix import SparseMatrix
 from ..operators.spmv import SpmvOpts, spmv
 from .util import shared_folder
@@ -237,6 +237,13 @@ def reduce_redundant(s, d):
     return BlockVector(reduce_parts(parts, 4), 50, 4).tidy()
 
 
+@query(f"WITH {E}, q AS (SELECT i // 50 AS part, i % 50 AS i, c, v FROM e) SELECT CAST(q.part AS INTEGER) AS part, q.i, q.c, coalesce(r.v, q.v) AS v FROM q LEFT JOIN q r ON r.part = 2 AND r.i = q.i AND r.c = q.c")
+def sync_values(s, d):
+    e = _emb(s, d)
+    parts = e.df.select(F.floor(F.col("i") / 50).cast("int").alias("part"), (F.col("i") % 50).alias("i"), "x")
+    return sync_parts(parts, 2).select("part", "i", F.posexplode("x").alias("c", "v"))
+
+
 @query("SELECT (SELECT count(*) FROM lineitem) AS nnz, (SELECT count(*) FROM orders) AS nrows")
 def nnz_nrows(s, d):
     a = _items(s, d)
@@ -591,6 +598,24 @@ def chunk_occupancy(s, d):
     return stats.chunk_occupancy(_items(s, d), 32, 4).withColumn("beta", F.round("beta", 9))
 
 
+_RL = "SELECT i // {w} AS chunk, max(len) AS row_len FROM (SELECT o_orderkey AS i, count(l_orderkey) AS len FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1"
+
+
+@query(_RL.format(w=2))
+def row_len2(s, d):
+    return stats.chunks(_items(s, d), 2).select("chunk", F.col("chunk_len").alias("row_len"))
+
+
+@query(_RL.format(w=4))
+def row_len4(s, d):
+    return stats.chunks(_items(s, d), 4).select("chunk", F.col("chunk_len").alias("row_len"))
+
+
+@query(f"WITH {LAP} SELECT count(DISTINCT i) / (max(i - j) + max(j - i)) AS ratio FROM a")
+def kacz_ratio(s, d):
+    return s.createDataFrame([(permute.kacz_ratio(_lap(s, d)),)], "ratio double")
+
+
 _SB = "{n} AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY i) AS n FROM (SELECT i, {e} AS d FROM a WHERE {e} >= 0)), {n}m AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM {n} WHERE r = floor(n * 0.9))"
 
 
@@ -674,6 +699,19 @@ def rcm_band(s, d):
     return q.agg(F.lit(low).cast("long").alias("lower_bandwidth"), F.lit(up).cast("long").alias("upper_bandwidth"), F.count_distinct("perm").alias("n_rows"))
 
 
+@query("SELECT CAST(4 AS BIGINT) AS n_parts, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_cut, true AS even FROM supplier")
+def graph_parts(s, d):
+    """The tridiagonal matrix, scattered, in four parts by its graph: three neighbours are parted (six entries), and parts are within two rows of a quarter."""
+    a = _lap(s, d)
+    n = a.nrows
+    step = next(k for k in range(max(2, n // 3), 2 * n + 3) if math.gcd(k, n) == 1)
+    p = s.range(n).select(F.col("id").alias("idx"), (F.col("id") * step % n).alias("perm"))
+    mixed = permute.permute(a, p, p)
+    of = permute.graph_parts(mixed, 4)
+    size = of.groupBy("part").count().agg(F.count("*").alias("n_parts"), F.sum("count").alias("n_rows"), (F.max(F.abs(F.col("count") - n / 4)) <= 2).alias("even"))
+    return size.crossJoin(permute.edge_cut(mixed, of)).select("n_parts", "n_rows", "n_cut", "even")
+
+
 # a sweep of the tridiagonal matrix as a recursion over rows, the vector being a list: x moves by r times the row, r being what the row misses over its squared length
 _MISS = "(y[i + 1] - (2 * x[i + 1] - CASE WHEN i > 0 THEN x[i] ELSE 0 END - CASE WHEN i < n - 1 THEN x[i + 2] ELSE 0 END)) / (4 + CASE WHEN i > 0 THEN 1 ELSE 0 END + CASE WHEN i < n - 1 THEN 1 ELSE 0 END)"
 _MOVED = "[x[q + 1] + CASE WHEN q = i THEN 2 * r WHEN abs(q - i) = 1 THEN -r ELSE 0 END FOR q IN range(n)]"
