@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,30 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: A-Z become lower case, all else stays.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Entries at which a worker's memo of words is emptied.
-MEMO_MAX = 250_000
+#: Words at which a worker's memo is emptied: some 20 bytes each, beside what is remembered of them.
+MEMO_MAX = 500_000
+
+
+class Memo:
+    """Words numbered in the order in which they came. Arrow holds them and looks them up, so that Python sees new ones alone."""
+
+    def __init__(self) -> None:
+        self.known = pa.array([], pa.string())
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The numbers of distinct words, and which of them are new."""
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy(), []
+        fresh = pc.is_null(at)
+        new = words.filter(fresh)
+        out = pc.fill_null(at, 0).to_numpy().copy()
+        out[fresh.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        return out, new.to_pylist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

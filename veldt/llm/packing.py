@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_MAX, checkpointed, map_arrow, table
+from .common import MEMO_MAX, Memo, checkpointed, map_arrow, table
 
 CAP, BLOCK, ISLANDS, MIGRATIONS, FULL = 2048, 4096, 2, 2, 0.998
 SHORT, LONG = {"population": 4, "generations": 6}, {"population": 10, "generations": 120}
@@ -59,7 +59,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.parts: dict[str, int] = {}  # runs of lower-case letters, of signs, and other words, to their rows
+        self.parts = {kind: Memo() for kind in ("letters", "signs", "other")}
+        self.at = {kind: np.zeros(0, "i4") for kind in self.parts}  # the rows of their words
         self.first, self.size, self.flat = np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "<u4")
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +79,13 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         ends = split.offsets.to_numpy()
         coded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        if len(self.parts) > MEMO_MAX:
+        if len(self.size) > MEMO_MAX:
             self._forget()
         cut = pc.extract_regex(coded.dictionary, _SIMPLE)
         simple = cut.is_valid()
-        letters, signs = self._rows(pc.utf8_lower(pc.struct_field(cut, "letters").filter(simple)), True), self._rows(pc.struct_field(cut, "signs").filter(simple))
-        other = self._rows(coded.dictionary.filter(pc.invert(simple)))
-        rows = np.full((len(coded.dictionary), 2), self._rows(pa.array([""]))[0], "i4")  # no ids
+        letters, signs = self._rows(pc.utf8_lower(pc.struct_field(cut, "letters").filter(simple)), "letters"), self._rows(pc.struct_field(cut, "signs").filter(simple), "signs")
+        other = self._rows(coded.dictionary.filter(pc.invert(simple)), "other")
+        rows = np.full((len(coded.dictionary), 2), self._rows(pa.array([""]), "other")[0], "i4")  # no ids
         at = simple.to_numpy(zero_copy_only=False)
         rows[at, 0], rows[at, 1], rows[~at, 0] = letters, signs, other
         rows = rows[coded.indices.to_numpy()].ravel()
@@ -100,18 +101,17 @@ class Encoder:
             ids, cuts = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
         return ids, cuts
 
-    def _rows(self, parts: pa.Array, letters: bool = False) -> np.ndarray:
+    def _rows(self, parts: pa.Array, kind: str) -> np.ndarray:
         """The rows of parts, which are learned if they are new."""
-        coded, memo = parts.dictionary_encode(), self.parts
-        own = coded.dictionary.to_pylist()
-        new = [w for w in own if w not in memo]
+        coded = parts.dictionary_encode()
+        number, new = self.parts[kind].numbers(coded.dictionary)
         if new:
-            ids, size = self._letters(new) if letters else self._each(new)
-            memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            ids, size = self._letters(new) if kind == "letters" else self._each(new)
+            self.at[kind] = np.concatenate([self.at[kind], np.arange(len(self.size), len(self.size) + len(new), dtype="i4")])
             self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(size) - size).astype("i4")])
             self.size = np.concatenate([self.size, size.astype("i4")])
             self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(memo.__getitem__, own), "i4", len(own))[coded.indices.to_numpy()]
+        return self.at[kind][number][coded.indices.to_numpy()]
 
     def _letters(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """In one call: each run of letters ends with the one token that ends a word."""
