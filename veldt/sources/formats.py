@@ -40,24 +40,22 @@ def parse_banner(line: str) -> tuple[str, str]:
 
 
 def read_mm(spark: SparkSession, path: str, transpose: bool = False, want: DType | None = None) -> SparseMatrix:
-    """Text lines are split by Spark's own reader, so any file system and size will do; symmetric files become general."""
-    lines = spark.read.text(path).select(F.trim("value").alias("t"))
-    banner = spark.read.text(path).where(F.col("value").startswith("%%")).select(F.col("_metadata.file_path").alias("f")).limit(1).collect()
-    if not banner:
-        raise ValueError("not a MatrixMarket coordinate matrix")
-    head = spark.read.text(banner[0]["f"]).limit(10_000).collect()
-    kind, sym = parse_banner(head[0]["value"])
+    """Text lines are split by Spark's own reader, so any file system and size will do; symmetric files become general. Of several files the first by name has the head."""
+    text = spark.read.text(path)
+    files = sorted(text.inputFiles())
+    head = [r["value"] for r in spark.read.text(files[0]).limit(10_000).collect()] if files else []
+    kind, sym = parse_banner(head[0] if head else "")
     if want is not None and want.is_complex != (kind == "complex"):
         raise ValueError("real and complex entries don't turn into each other")
-    size_line = next(r["value"] for r in head if r["value"].strip() and not r["value"].startswith("%"))
+    size_line = next(x.strip() for x in head if x.strip() and not x.startswith("%"))
     m, n, _ = map(int, size_line.split())
     width = 4 if kind == "complex" else 3
-    p = F.split("t", r"\s+")
-    rows = lines.where(~F.col("t").startswith("%") & (F.col("t") != "") & (F.col("t") != size_line.strip())).select(p.alias("p"))
-    # a line equal to the size line is an entry if it comes again
-    again = lines.where(F.col("t") == size_line.strip()).count() - 1
-    if again > 0 and width == 3:
-        rows = rows.unionAll(spark.range(again).select(F.split(F.lit(size_line.strip()), r"\s+").alias("p")))
+    lines = text.select(F.trim("value").alias("t"))
+    rows = lines.where(~F.col("t").startswith("%") & (F.col("t") != "") & (F.col("t") != size_line))
+    if width == 3:  # a line equal to the size line is an entry if it comes again
+        again = lines.where(F.col("t") == size_line).agg(F.count("*").alias("n")).where("n > 1")
+        rows = rows.unionAll(again.select(F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).select(F.lit(size_line).alias("t")))
+    rows = rows.select(F.split("t", r"\s+").alias("p"))
     val = F.struct(F.col("p")[2].cast("double").alias("re"), F.col("p")[3].cast("double").alias("im")) if width == 4 else F.col("p")[2].cast("double")
     df = rows.select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), val.alias("v"))
     if sym == "symmetric":
