@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_MAX, map_arrow, table
+from .common import MEMO_MAX, Memo, map_arrow, table
 
 MARK, PENALTY = "▁", 10.0
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +49,10 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - PENALTY
-        self.memo: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo, self.counts = Memo(), np.zeros(0, "i4")
 
     def pieces(self, text: str) -> int:
         """Pieces of the best segmentation of text, taken as it is."""
@@ -89,12 +92,11 @@ class Counter:
         ends = cut.offsets.to_numpy()
         coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         if len(self.memo) > MEMO_MAX:
-            self.memo.clear()
-        own, memo = coded.dictionary.to_pylist(), self.memo
-        for w in own:
-            if w not in memo:
-                memo[w] = self.pieces(w)
-        count = np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+            self._forget()
+        number, new = self.memo.numbers(coded.dictionary)
+        if new:
+            self.counts = np.concatenate([self.counts, np.fromiter(map(self.pieces, new), "i4", len(new))])
+        count = self.counts[number][coded.indices.to_numpy()]
         upto = np.r_[0, np.cumsum(count)][ends - ends[0]]
         return np.diff(upto) + pc.count_substring(t, "\n").to_numpy()  # a line end is unknown, and one byte
 
