@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import Memo, map_arrow, table
 
 KINDS = ("assign", "access", "hex", "crf")
 _ANY = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
@@ -139,7 +139,7 @@ class Field:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = Memo()
         self.rows = np.zeros((1 << 12, 4, TAGS), "f4")  # own, and as each of SEEN
         self.keys: dict[OwnKey, int] = {}
         self.by_key = np.zeros((1 << 10, 4, TAGS), "f4")
@@ -154,27 +154,24 @@ class Field:
             self.by_key[k, j] = self.weights[_bucket(kind + "s", key[0])]
         return k
 
-    def _learn(self, new: list[str]) -> None:
-        """Scores of new words, all at once."""
-        known = self.keys
+    def _learn(self, new: list[str], k: int) -> None:
+        """Scores of new words, all at once, in the rows from k on."""
+        known, n = self.keys, len(new)
         keys = [known[x] if x in known else self._key(x) for x in own_keys(new)]
-        k, n = len(self.memo), len(new)
         while k + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[k : k + n] = self.by_key[keys]
         self.rows[k : k + n, 1:] += self.weights[seen_words(new)]
-        self.memo.update(zip(new, range(k, k + n), strict=True))
 
     def _places(self, tokens: list[str]) -> np.ndarray:
         coded = pa.array(tokens, pa.string()).dictionary_encode()
-        own = coded.dictionary.to_pylist()
         if len(self.memo) > MEMO:
             self._forget()
-        memo = self.memo
-        new = [w for w in own if w not in memo]
+        k = len(self.memo)
+        number, new = self.memo.numbers(coded.dictionary)
         for s in range(0, len(new), LEARN):
-            self._learn(new[s : s + LEARN])
-        return np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+            self._learn(new[s : s + LEARN], k + s)
+        return number[coded.indices.to_numpy()]
 
     def emissions(self, tokens: list[list[str]], texts: list[str]) -> np.ndarray:
         """Scores by tag of the tokens of all texts, one text after the other."""
