@@ -24,11 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import MEMO_MAX, Memo, map_arrow, table
 
 BUCKETS, DIM, MAX_TRAIN, EPOCHS = 1 << 15, 16, 2000, 8
-#: Words remembered, and characters and words looked at in one go.
-MEMO, STRETCH, PART = 250_000, 1 << 18, 1 << 18
+#: Characters and words looked at in one go.
+STRETCH, PART = 1 << 18, 1 << 18
+#: Numbers that are remembered of words.
+SUMS = 8_000_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "u8")
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -75,11 +77,12 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {"": 0}
+        self.memo = Memo()
         self.sums = np.zeros((1 << 12, len(self.langs) + 1), "f4")  # logits, and how many subwords
 
-    def _learn(self, new: list[str]) -> None:
-        k, n = len(self.memo), len(new)
+    def _learn(self, new: list[str], k: int) -> None:
+        """Fills the rows from k on."""
+        n = len(new)
         while k + n > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         total = np.zeros((n, len(self.langs) + 1))
@@ -87,23 +90,23 @@ class Model:
             for c in range(len(self.langs)):
                 total[:, c] += np.bincount(w, self.table[b, c], n)
             total[:, -1] += np.bincount(w, minlength=n)
+        total[[not w for w in new]] = 0  # what stands for white space at an end
         self.sums[k : k + n] = total
-        self.memo.update(zip(new, range(k, k + n), strict=True))
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         """A row a text."""
         coded, ends = split_words(texts)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > min(MEMO_MAX, SUMS // (len(self.langs) + 1)):
             self._forget()
-        own, memo = coded.dictionary.to_pylist(), self.memo
-        new = [w for w in own if w not in memo]
+        k = len(self.memo)
+        number, new = self.memo.numbers(coded.dictionary)
         s, size = 0, 0
         for e, w in enumerate(new, 1):
             size += len(w)
             if size >= STRETCH or e == len(new):
-                self._learn(new[s:e])
+                self._learn(new[s:e], k + s)
                 s, size = e, 0
-        rows = np.fromiter(map(memo.__getitem__, own), "i8", len(own))[coded.indices.to_numpy()]
+        rows = number[coded.indices.to_numpy()]
         total = np.zeros((len(texts), len(self.langs) + 1))
         text = np.repeat(np.arange(len(texts)), np.diff(ends))
         for s in range(0, len(rows), PART):
