@@ -173,3 +173,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = checkpointed(features(table(spark, sf_dir, "documents")))  # counts alone, no texts
     out = judge(feats, fit_cutoffs(feats, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *_BASE, "base_failed", "kept")
+
+
+#: The whole query: counts and ratios by patterns and lists; a document's first step that rejects it; per stratum the steps whose union of cutoffs passes
+#: the exact test, a binomial sum against the error level, until one fails.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM d),
+tri AS (SELECT r, s, w[s] AS a, w[s + 1] AS b, w[s + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) > 2)),
+twice AS (SELECT r, a, b, c FROM tri GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT s + o) AS n FROM tri JOIN twice USING (r, a, b, c), range(3) q(o) GROUP BY r),
+n AS (SELECT w.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(list_distinct(w)) AS n_kinds
+      FROM w LEFT JOIN rep ON w.r = rep.r),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n),
+v AS (SELECT r, 'symbols' AS f, n_symbols / n_words AS v FROM f WHERE n_words > 0 UNION ALL SELECT r, 'repeats', n_repeat_words / n_words FROM f WHERE n_words > 0
+      UNION ALL SELECT r, 'dup_lines', n_dup_lines / n_lines FROM f WHERE n_words > 0 UNION ALL SELECT r, 'capitals', n_upper / word_chars FROM f WHERE n_words > 0
+      UNION ALL SELECT r, 'word_length', word_chars / n_words FROM f WHERE n_words > 0 UNION ALL SELECT r, 'sameness', 1 - n_kinds / n_words FROM f WHERE n_words >= 200),
+steps(k, f, c) AS (VALUES {", ".join(f"({k}, '{f}', {c!r}e0)" for k, (f, c) in enumerate(STEPS))}),
+first AS (SELECT r, min(k) AS k FROM v JOIN steps ON v.f = steps.f AND v.v > steps.c GROUP BY r),
+good AS (SELECT f.lang, coalesce(first.k, {len(STEPS)}) AS k FROM f JOIN labels ON f.doc_id = labels.doc_id AND labels.quality = 1 LEFT JOIN first ON f.r = first.r WHERE NOT base_failed),
+size AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+hits AS (SELECT size.lang, any_value(n) AS n, steps.k, count(good.k) AS hit FROM size CROSS JOIN steps LEFT JOIN good ON good.lang IS NOT DISTINCT FROM size.lang AND good.k <= steps.k GROUP BY size.lang, steps.k),
+tail AS (SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02e0) + (n - i) * ln(0.98e0))) AS p FROM hits, range((SELECT max(hit) FROM hits) + 1) q(i) WHERE i <= hit GROUP BY lang, k),
+certified AS (SELECT lang, coalesce(min(k) FILTER (WHERE p > 0.05e0 / (SELECT count(*) FROM size)), {len(STEPS)}) AS n FROM tail GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(first.k, {len(STEPS)}) >= coalesce(certified.n, 0) AS kept
+FROM f LEFT JOIN first ON f.r = first.r LEFT JOIN certified ON f.lang IS NOT DISTINCT FROM certified.lang
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_quality_rules": quality.SQL,
     "op5_url_filters": url_filter.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
 }
