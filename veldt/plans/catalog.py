@@ -724,19 +724,20 @@ def _steps(name: str, start: str, order: str) -> str:
 
 
 def _sweep_sql(order: str) -> str:
-    return f"WITH RECURSIVE {_LISTS}, w AS (SELECT 0 AS p, list(s_suppkey ORDER BY {order}) AS o FROM supplier), {_steps('st', 'xl', 'w')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) AS v FROM st, yl, range(n) t(q) WHERE k = n"
+    return f"WITH RECURSIVE {_LISTS}, w AS (SELECT 0 AS p, list(s_suppkey ORDER BY {order}) AS o FROM supplier), {_steps('st', 'xl', 'w')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) + 0 AS v FROM st, yl, range(n) t(q) WHERE k = n"
 
 
 _MEAN = "(SELECT list(v ORDER BY q) AS x FROM (SELECT q, coalesce(avg(s.x[q + 1]) FILTER (WHERE q BETWEEN lo - 1 AND hi + 1), any_value(b.x[q + 1])) AS v FROM {st} s JOIN {w} w ON w.p = s.p AND s.k = len(o), {old} b, yl, range(n) t(q) GROUP BY q))"
 _PARTS = "{n} AS (SELECT {p} AS p, list(s_suppkey ORDER BY {o}) AS o, min(s_suppkey) AS lo, max(s_suppkey) AS hi FROM supplier GROUP BY 1)"
 _CARP = (
     f"WITH RECURSIVE {_LISTS}, {_PARTS.format(n='fw', p=P4('s_suppkey'), o='s_suppkey')}, {_PARTS.format(n='bw', p=P4('s_suppkey'), o='s_suppkey DESC')}, {_steps('s1', 'xl', 'fw')}, x1 AS {_MEAN.format(st='s1', w='fw', old='xl')}, "
-    f"{_steps('s2', 'x1', 'bw')}, x2 AS {_MEAN.format(st='s2', w='bw', old='x1')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) AS v FROM x2, yl, range(n) t(q)"
+    f"{_steps('s2', 'x1', 'bw')}, x2 AS {_MEAN.format(st='s2', w='bw', old='x1')} SELECT CAST(q AS BIGINT) AS i, CAST(0 AS INTEGER) AS c, round(x[q + 1], 6) + 0 AS v FROM x2, yl, range(n) t(q)"
 )
 
 
 def _rounded(x: BlockVector):
-    return x.tidy().withColumn("v", F.round("v", 6))
+    """Six decimals, and zeros without a sign."""
+    return x.tidy().withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
 @query(_sweep_sql("s_suppkey"))
@@ -785,7 +786,7 @@ def kacz_shifted_sweep(s, d):
     x = _xs(s, d).columns([0]).df.select("i", F.lit(0).alias("k"), F.col("x")[0].alias("re"), F.lit(0.0).alias("im"))
     b = _ys(s, d).df.select("i", F.col("x")[0].alias("re"), F.lit(0.0).alias("im"))
     got = kaczmarz.shifted_part_sweep(_lap(s, d), b, x, [0.5], lambda i: F.lit(0))
-    return got.select("i", F.lit(0).alias("c"), F.round("re", 6).alias("v"))
+    return got.select("i", F.lit(0).alias("c"), (F.round("re", 6) + F.lit(0.0)).alias("v"))
 
 
 @query(_CARP)
