@@ -11,7 +11,7 @@ from veldt.operators import distribute as dist
 from veldt.operators.block_vector import BlockVector
 from veldt.operators.matrix import SparseMatrix
 from veldt.operators.spmv import SpmvOpts, spmv
-from veldt.plans import errors, timing
+from veldt.plans import errors, timing, util
 from veldt.plans.dtypes import DType
 from veldt.sources import formats
 
@@ -449,6 +449,14 @@ def test_measured_bandwidths_and_transfers(spark):
     assert t.regions["shuffle"][1] > 0 and "shuffle" in t.report()
 
 
+@pytest.mark.parametrize("window", [1 << 20, 4])
+def test_running_sums_in_blocks_of_blocks(spark, window):
+    w = RNG.integers(0, 9, 700)
+    df = spark.createDataFrame([(k, int(v)) for k, v in enumerate(w)], "k long, w long")
+    got = {r["k"]: r["s"] for r in util.prefix_sum(df, "k", "w", "s", 700, 5, window).collect()}
+    assert got == dict(enumerate((np.cumsum(w) - w).tolist()))
+
+
 def test_error_handlers():
     seen = []
     errors.set_handler(ValueError, seen.append)

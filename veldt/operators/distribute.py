@@ -36,7 +36,7 @@ def row_lengths(a: SparseMatrix) -> DataFrame:
 
 def by_nnz(a: SparseMatrix, parts: int) -> list[int]:
     """First rows of the parts: part k begins at the first row with k * (nnz / parts + 1) entries or more before it."""
-    rows = prefix_sum(row_lengths(a), "i", "len", "before")
+    rows = prefix_sum(row_lengths(a), "i", "len", "before", a.nrows)
     target = a.nnz() // parts + 1
     marks = rows.agg(*[F.min(F.when(F.col("before") >= k * target, F.col("i"))).alias(f"p{k}") for k in range(1, parts)]).first() if parts > 1 else []
     return [0, *[a.nrows if m is None else m for m in marks], a.nrows]

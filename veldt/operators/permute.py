@@ -155,7 +155,7 @@ def graph_parts(a: SparseMatrix, parts: int, **kw) -> DataFrame:
     """(i, part): a partition of the rows by the graph of the symmetrised pattern: along a breadth-first order (rcm), which keeps neighbours near, into parts that are even in entries."""
     order_ = cut(rcm(a, **kw))
     rows = row_lengths(a).join(order_.withColumnRenamed("idx", "i"), "i").select("perm", "i", (F.col("len") + 1).alias("w"))  # a row without entries counts too
-    before = cut(prefix_sum(rows, "perm", "w", "before"))
+    before = cut(prefix_sum(rows, "perm", "w", "before", a.nrows))
     total = before.agg(F.sum("w")).first()[0] or 1
     return before.select("i", F.least(F.lit(parts - 1), F.floor(F.col("before") * parts / total)).cast("int").alias("part"))
 

@@ -42,11 +42,17 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.get(offset, part.cast("int")) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """df, one row a key of 0.., with the sum of value over smaller keys: within blocks of keys, plus the blocks' own running sum."""
+def prefix_sum(df: DataFrame, key: str, value: str, name: str, n: int | None = None, block: int = 1 << 16, window: int = 1 << 20) -> DataFrame:
+    """df, one row a key of 0.., with the sum of value over smaller keys: within blocks of keys, plus the blocks' own running sum.
+
+    With n, the number of keys, the blocks' sums are taken in blocks again where they are more than a window should hold.
+    """
     b = F.floor(F.col(key) / block).cast("long").alias("__b")
     blocks = df.groupBy(b).agg(F.sum(value).alias("__s"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 65,536 keys
-    first = blocks.select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__f"))
+    if n is not None and n > block * window:
+        first = prefix_sum(blocks.select(F.col("__b").alias("__k"), F.col("__s").alias("__v")), "__k", "__v", "__n", -(-n // block), block, window).select(F.col("__k").alias("__b"), F.col("__n").alias("__f"))
+    else:
+        before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 65,536 keys
+        first = blocks.select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__f"))
     own = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__b", b).join(first, "__b").withColumn(name, F.col("__f") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__b", "__f")

@@ -213,7 +213,7 @@ def write_bincrs(a: SparseMatrix, path: str) -> None:
     d = a.traits.dtype
     ranked = cut(global_rank(a.df, "i", "j", *(["v.re", "v.im"] if d.is_complex else ["v"])))
     n = ranked.count()
-    rpt = prefix_sum(row_lengths(a), "i", "len", "before").select("i", F.col("before").cast("long").alias("before"))
+    rpt = prefix_sum(row_lengths(a), "i", "len", "before", a.nrows).select("i", F.col("before").cast("long").alias("before"))
     at = CRS_HEAD + 8 * (a.nrows + 1)
     f = _Target(path, [np.array([0, 1, 0, Symmetry.GENERAL.value, d.value], "<i4"), np.array([a.nrows, a.ncols, n], "<i8")], at + (8 + d.size) * n)
     longs = lambda c: lambda b: b.column(c).to_numpy().astype("<i8").tobytes()
