@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from veldt.llm import decontam, shingle_sets, simhash
+from veldt.llm.common import bounded
 from veldt.llm.components import components
 
 from .made import SCHEMA, docs, groups, odd_rows, prose
@@ -79,6 +80,21 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_lists_are_joined_like_short_ones(spark, monkeypatch):
+    """Beyond the bound nothing is broadcast, and the same rows stay."""
+    rng = random.Random(14)
+    leak = prose(rng, 20)
+    rows = [(k, x) for k, x in enumerate([prose(rng, 200) for _ in range(6)] * 2)] + [(50, f"a b {leak}"), (None, leak), (None, None)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    df = docs(spark, rows)
+    kept = lambda d: sorted(str((r["doc_id"], r["text"])) for r in d.collect())
+    short = kept(simhash.drop_near_copies(df)), kept(decontam.drop_contaminated(df, bench))
+    for m in (simhash, shingle_sets, decontam):
+        monkeypatch.setattr(m, "bounded", lambda d: bounded(d, 0))
+    assert short == (kept(simhash.drop_near_copies(df)), kept(decontam.drop_contaminated(df, bench)))
+    assert len(short[0]) == 9 and len(short[1]) == 13
+
+
 def test_a_repeated_id_loses_only_the_copy(spark):
     rng = random.Random(7)
     x, y, z = (prose(rng, 100) for _ in range(3))

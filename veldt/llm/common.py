@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: White space of all word and line rules: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,6 +70,14 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
             yield b.slice(s, step)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, as a worker stays for other stages, beside the JVM's heap; where the C library can't, it stays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """df's batches through fn, which gives columns by the names of schema."""
     small_batches(df.sparkSession)
@@ -76,6 +86,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             cols = fn(b)
+            give_back()
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (cols[n] for n in names)], names)
 
     return df.mapInArrow(run, schema)
@@ -127,6 +138,12 @@ def scratch(spark: SparkSession):
         remove(spark, at)
 
 
+def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """df, whose rows are a few numbers each, to be broadcast if they are max_rows or fewer; they are computed once, and counted."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores if df has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, free_name, stored, table
+from .common import ascii_lower, bounded, checkpointed, free_name, stored, table
 
 WINDOW, MAX_BROADCAST = 10, 16 << 20
 #: What is not in [\x00-\x2F\x3A-\x60\x7B-\x7F], named by what it holds, letters first: Java's matcher is ten times as fast then.
@@ -139,7 +139,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_br
     d, h = free_name(docs, "__d"), free_name(docs, "__h")
     windows, _ = item_windows(items, n, unnamed=True)
     bad = occurrences(index(docs), windows, max_broadcast).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
+    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

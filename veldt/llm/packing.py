@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_MAX, Memo, checkpointed, map_arrow, table
+from .common import MEMO_MAX, Memo, checkpointed, give_back, map_arrow, table
 
 CAP, BLOCK, ISLANDS, MIGRATIONS, FULL = 2048, 4096, 2, 2, 0.998
 SHORT, LONG = {"population": 4, "generations": 6}, {"population": 10, "generations": 120}
@@ -332,6 +332,7 @@ def _round(open_items: DataFrame, n_blocks: int, salt: int, cap: int, islands: i
         return run
 
     def choose(t):
+        give_back()
         one = [t.filter(pc.equal(t["island"], k)) for k in sorted(set(t["island"].to_pylist()))]
         score = [(len(s := np.bincount(x["bin"].to_numpy(), x["length"].to_numpy())), -float((s * s).sum())) for x in one]
         t = one[score.index(min(score))].sort_by([(c, "ascending") for c in ("bin", "doc_id", "piece", "start")])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, slices, small_batches, table
+from .common import checkpointed, give_back, map_arrow, slices, small_batches, table
 
 _WS, _SYM = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MIN_WORDS = 50
@@ -160,6 +160,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
                 own = cutoffs.get(lang, {})
                 bad = x[0] < MIN_WORDS or 100 * x[4] > 50 * x[0] or any(v > own[f] for f, v in zip(names, x[5:], strict=True) if f in own)
                 keep.append(not bad)
+            give_back()
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, checkpointed, free_name, map_arrow, table
+from .common import ASCII_LOWER, apart, bounded, checkpointed, free_name, map_arrow, table
 from .components import components
 from .shingle_sets import near_copies
 
@@ -201,7 +201,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     groups = near_copies(docs)
     d, h = free_name(docs, "__gone"), free_name(docs, "__h")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
+    return docs.join(bounded(gone), (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
