@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -386,11 +387,14 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_seen: int = MAX_SEEN) -
     if not chosen:
         return train([])
 
+    wanted = pa.array(chosen, pa.int64())
+
     def fn(b: pa.RecordBatch) -> dict:
+        b = b.filter(pc.is_in(b.column("h"), value_set=wanted))
         each = [windows(t) for t in b.column("text").to_pylist()]
         return {"h": b.column("h"), "rows": pa.array([[f.tobytes() for f, _ in x] for x in each], pa.list_(pa.binary())), "tags": pa.array([[t.tobytes() for _, t in x] for x in each], pa.list_(pa.binary()))}
 
-    got = map_arrow(part.where(F.col("h").isin(chosen)), fn, "h long, rows array<binary>, tags array<binary>").groupBy("h").agg(F.first(F.struct("rows", "tags")).alias("w"))
+    got = map_arrow(seen, fn, "h long, rows array<binary>, tags array<binary>").groupBy("h").agg(F.first(F.struct("rows", "tags")).alias("w"))
     rows = sorted(got.collect(), key=lambda r: r["h"])
     return train([(np.frombuffer(f, "u2").reshape(-1, WIDE), np.frombuffer(t, "i1")) for r in rows for f, t in zip(r["w"]["rows"], r["w"]["tags"], strict=True)])
 
