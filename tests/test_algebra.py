@@ -297,6 +297,36 @@ def test_block_multicolour_with_a_rest(spark):
     assert np.allclose(kaczmarz.block_multicolor(a, vec(spark, b), vec(spark, x), 4, backward=True).to_numpy()[:, 0], sweep_np(m, b, x, back))
 
 
+def test_sweep_in_four_phases(spark):
+    """Zones of two colours, each parted where its rows lead over to the next: a sweep by phases is a plain one in that order."""
+    n = 48
+    a = SparseMatrix.stencil(spark, n, {-2: 1.0, -1: -1.0, 0: 4.0, 1: -1.0, 2: 0.5})
+    m, offs = a.to_numpy(), permute.dissect(a, 3)
+    four = permute.four_zones(a, offs)
+    assert len(four) == 2 * (len(offs) - 1) + 1 and four == sorted(four) and four[2] - four[1] == 2
+    assert permute.zones_disjoint(a, offs) and permute.zones_disjoint(a, four, 4) and not permute.zones_disjoint(a, list(range(n + 1)), 1)
+    b, x = RNG.normal(size=n), RNG.normal(size=n)
+    order = [i for ph in range(4) for z in range(ph, len(four) - 1, 4) for i in range(four[z], four[z + 1])]
+    assert np.allclose(kaczmarz.zone_sweep(a, vec(spark, b), vec(spark, x), dist.owner(four), phases=4).to_numpy()[:, 0], sweep_np(m, b, x, order))
+
+
+def test_operands_follow_a_permutation(spark):
+    x = RNG.normal(size=(6, 2))
+    p, q = (spark.createDataFrame([(i, int(k)) for i, k in enumerate(RNG.permutation(6))], "idx long, perm long") for _ in range(2))
+    v = vec(spark, x)
+    by_p, by_q = permute.permute_vector(v, p), permute.permute_vector(v, q)
+    assert permute.match_permutation(by_p, p, p) is by_p
+    assert np.allclose(permute.match_permutation(by_p, p, q).to_numpy(), by_q.to_numpy())
+    assert np.allclose(permute.match_permutation(by_p, p, None).to_numpy(), x) and np.allclose(permute.match_permutation(v, None, q).to_numpy(), by_q.to_numpy())
+
+
+def test_typecodes():
+    assert formats.typecode_string("MCRG") == "matrix coordinate real general" and formats.typecode("%%MatrixMarket matrix coordinate complex skew-symmetric\n") == "MCCK"
+    for bad in (lambda: formats.typecode_string("MXRG"), lambda: formats.typecode("%%MatrixMarket matrix coordinate real"), lambda: formats.typecode("hello")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_widths_are_measured(spark, band):
     a, m = band
     ticks = iter([0.0, 3.0, 3.0, 4.0])

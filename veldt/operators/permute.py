@@ -202,14 +202,36 @@ def dissect(a: SparseMatrix, threads: int) -> list[int]:
     return [0, a.nrows]
 
 
-def zones_disjoint(a: SparseMatrix, offs: list[int]) -> bool:
-    """Whether zones two apart share no column."""
+def four_zones(a: SparseMatrix, offs: list[int]) -> list[int]:
+    """Zones of two colours, each parted at its first row that reaches columns of the next zone: what stays inside, then what leads over. For sweeps in four phases."""
+    from .distribute import owner
+
+    ends = F.array(*[F.lit(o).cast("long") for o in offs[1:]])
+    reach = a.df.groupBy("i").agg(F.max("j").alias("hi")).withColumn("z", owner(offs)(F.col("i")))
+    first = {r["z"]: r["at"] for r in reach.where(F.col("hi") >= F.get(ends, F.col("z"))).groupBy("z").agg(F.min("i").alias("at")).collect()}  # a row a zone
+    out = [offs[0]]
+    for z, (lo, hi) in enumerate(zip(offs, offs[1:], strict=False)):
+        out += [max(lo, min(hi, first.get(z, hi))), hi]
+    return out
+
+
+def zones_disjoint(a: SparseMatrix, offs: list[int], phases: int = 2) -> bool:
+    """Whether zones of one phase share no column."""
     from .distribute import owner
 
     z = owner(offs)(F.col("i"))
     spans = {r["z"]: (r["lo"], r["hi"]) for r in a.df.groupBy(z.alias("z")).agg(F.min("j").alias("lo"), F.max("j").alias("hi")).collect()}
     ks = sorted(spans)
-    return all(spans[k][1] < spans[m][0] for k in ks for m in ks if m >= k + 2 and (m - k) % 2 == 0)
+    return all(spans[k][1] < spans[m][0] for k in ks for m in ks if m > k and (m - k) % phases == 0)
+
+
+def match_permutation(x: BlockVector, have: DataFrame | None, want: DataFrame | None) -> BlockVector:
+    """x, whose rows were permuted by have, in the order of want: what an operand needs beside a matrix that is permuted otherwise. None is no permutation."""
+    if have is want:
+        return x
+    if have is not None:
+        x = permute_vector(x, have, back=True)
+    return x if want is None else permute_vector(x, want)
 
 
 def order(a: SparseMatrix, names: list[str], **kw) -> DataFrame:

@@ -761,6 +761,17 @@ def kacz_red_black(s, d):
     return _rounded(kaczmarz.zone_sweep(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(dist.by_rows(a.nrows, 8 if a.nrows >= 32 else 2))))
 
 
+_NEXT = _ZONE.replace("s_suppkey //", "least(s_suppkey + 1, (SELECT max(s_suppkey) FROM supplier)) //")
+
+
+@query(_sweep_sql(f"(2 * {_ZONE} + CASE WHEN {_NEXT} > {_ZONE} THEN 1 ELSE 0 END) % 4, s_suppkey"))
+def kacz_four_phases(s, d):
+    """Zones parted into what stays inside and the row that leads over to the next zone."""
+    a = _lap(s, d)
+    four = permute.four_zones(a, dist.by_rows(a.nrows, 8 if a.nrows >= 32 else 2))
+    return _rounded(kaczmarz.zone_sweep(a, _ys(s, d), _xs(s, d).columns([0]), dist.owner(four), phases=4))
+
+
 @query(_sweep_sql("s_suppkey % 3, s_suppkey"))
 def kacz_multi_color(s, d):
     a = _lap(s, d)

@@ -39,6 +39,26 @@ def parse_banner(line: str) -> tuple[str, str]:
     return w[3], w[4]
 
 
+#: The letters of a MatrixMarket type code, fixed values of the format.
+TYPECODE = ({"M": "matrix"}, {"C": "coordinate", "A": "array"}, {"R": "real", "C": "complex", "P": "pattern", "I": "integer"}, {"G": "general", "S": "symmetric", "H": "hermitian", "K": "skew-symmetric"})
+
+
+def typecode_string(code: str) -> str:
+    """MCRG to matrix coordinate real general."""
+    if len(code) != 4 or any(c not in words for c, words in zip(code, TYPECODE, strict=True)):
+        raise ValueError(f"{code} is no type code")
+    return " ".join(words[c] for c, words in zip(code, TYPECODE, strict=True))
+
+
+def typecode(banner: str) -> str:
+    """The type code of a banner line."""
+    w = banner.lower().split()
+    found = ["".join(c for c, word in words.items() if word == x) for x, words in zip(w[1:], TYPECODE, strict=False)]
+    if len(w) != 5 or w[0] != "%%matrixmarket" or not all(found):
+        raise ValueError("not a MatrixMarket banner")
+    return "".join(found)
+
+
 def read_mm(spark: SparkSession, path: str, transpose: bool = False, want: DType | None = None) -> SparseMatrix:
     """Text lines are split by Spark's own reader, so any file system and size will do; symmetric files become general. Of several files the first by name has the head."""
     text = spark.read.text(path)
