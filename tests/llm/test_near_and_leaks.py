@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veldt.llm import decontam, shingle_sets, simhash
+from veldt.llm import decontam, shingle_sets, simhash, simhash_bands
 from veldt.llm.common import bounded
 from veldt.llm.components import components
 
@@ -123,6 +123,65 @@ def test_near_copies_are_those_of_plain_sets(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()} == set(want.values())
 
 
+def test_near_copies_come_from_simhash(spark):
+    """The stage's fingerprints are majorities over the bits of five-word shingles; without words there is none."""
+    rng = random.Random(21)
+    rows = [(k, prose(rng, n)) for k, n in enumerate((1, 5, 6, 8, 9, 10, 300, 2000))] + [(50, " ".join(["a"] * 40)), (51, None), (52, " \n")]
+    got = {r["doc_id"]: (r["fp"], r["small"]) for r in shingle_sets.sketches(docs(spark, rows), 5).collect()}
+    for i, t in rows:
+        w = (t or "").split()
+        h = sorted({xxhash.xxh64_intdigest(" ".join(w[j : j + 5])) for j in range(max(1, len(w) - 4))}) if w else []
+        table = [[int(x) for x in r] for r in simhash_bands.bit_hashes(np.array(h, "u8"), 5)]
+        want = b"".join(sum(1 << b for b in range(64) if 2 * sum(r[c] >> b & 1 for r in table) > len(h)).to_bytes(8, "little") for c in range(5)) if h else None
+        assert got[i] == (want, len(h) <= 5), i
+
+
+@pytest.mark.parametrize("common, more", [(4, 1), (5, 1), (12, 3), (20, 5), (200, 50)])
+def test_bits_agree_as_the_bands_assume(common, more):
+    """Sets just similar enough: the share of equal bits, and no pair that differs in more than the radius."""
+    rng = np.random.default_rng(common)
+    small = common + more <= simhash_bands.SMALL
+    least, radius = (simhash_bands.AGREE_SMALL, simhash_bands.RADIUS_SMALL) if small else (simhash_bands.AGREE, simhash_bands.RADIUS)
+    d = []
+    for _ in range(400):
+        s = rng.integers(0, 1 << 63, common + more, "u8")
+        one, two = (np.frombuffer(simhash_bands.fingerprint(x, 3), "u8") for x in (s[:common], s))
+        d.append(int(np.bitwise_count(one ^ two).sum()))
+    assert max(d) <= radius
+    assert 1 - np.mean(d) / 192 > least - 0.006
+
+
+@pytest.mark.parametrize("n", [0, 200, 10**4, 10**6, 10**9])
+def test_bands_miss_as_little_as_said(n):
+    p = simhash_bands.plan(n)
+    assert (1 - simhash_bands.AGREE**p.k) ** p.bands < 1e-5 > (1 - simhash_bands.AGREE_SMALL**p.k) ** p.small
+    assert n / 2**p.k <= simhash_bands.PER_GROUP and 64 * p.words >= max(simhash_bands.CHECK, p.small * p.k)
+
+
+@pytest.mark.parametrize("tile", [8192, 300, 1])
+def test_pieces_are_those_of_all_pairs(tile):
+    """A clump, chains, pairs at the radius and just beyond it, and others."""
+    rng = random.Random(22)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(192), k))
+    hot = rng.getrandbits(192)
+    xs = [flip(hot, rng.randrange(40)) for _ in range(400)] + [rng.getrandbits(192) for _ in range(200)]
+    for k in (31, 32, 61, 62, 63, 80):
+        xs += [flip(x, k) for x in xs[400:420]]
+    rng.shuffle(xs)
+    f = np.array([[x >> 64 * w & (2**64 - 1) for x in xs] for w in range(3)], "u8")
+    want = groups(range(len(xs)), [(i, j) for i, j in combinations(range(len(xs)), 2) if (xs[i] ^ xs[j]).bit_count() <= 62])
+    assert 100 < len(set(want.values())) < len(xs) - 450
+    assert simhash_bands.pieces(f, 62, tile).tolist() == [want[i] for i in range(len(xs))]
+
+
+def test_short_near_copies_are_linked(spark):
+    """Eight words and nine: four shingles of five, the least likely bits; in groups of a half, a quarter, and so on."""
+    rng = random.Random(23)
+    rows = [(2 * k + i, " ".join(w[: 8 + i])) for k in range(1500) for w in [[f"v{rng.randrange(10**6)}" for _ in range(9)]] for i in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize("max_local", [10**6, 0])
 def test_components_of_chains_and_stars(spark, max_local):
     rng = random.Random(5)

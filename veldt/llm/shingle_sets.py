@@ -1,10 +1,10 @@
 """Near copies by sets of five-word shingles: texts whose sets have a Jaccard similarity of 0.8 or more are linked, after exact checks.
 
-A node is a text's lower-case words, told apart by a 64-bit hash. Candidates share a band: 30 bands of 5 MinHash values, so that a pair
-at 0.8 is missed with probability (1 - 0.8 ** 5) ** 30, below 1e-5, and less above. Every candidate pair is held to the exact similarity of
+A node is a text's lower-case words, told apart by a 64-bit hash. Candidates are near by SimHash (simhash_bands): fingerprints of the sets that share a
+band and differ in few bits, so that a pair at 0.8 is missed with probability below 1e-5, and less above. Every candidate pair is held to the exact similarity of
 the whole sets, unless other links have joined its two texts already:
-first each text of a band's group with the group's pivot; then, in groups of three or more that aren't one component by now, all pairs across
-components, in numpy, where a large group is dealt out as a grid of tile pairs. Groups of the same texts are looked at once.
+first each text of a piece with the piece's pivot; then, in pieces of three or more that aren't one component by now, all pairs across
+components, in numpy, where a large piece is dealt out as a grid of tile pairs. Pieces of the same texts are looked at once.
 Sets are made for candidates only; texts are not shuffled, unless candidates are too many to be broadcast.
 
 Defined cases: null and empty texts and those without words are one node; up to five words are one shingle; texts of any length count whole; rows without
@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, apart, bounded, checkpointed, give_back, map_arrow
 from .components import components
+from .simhash_bands import SMALL, fingerprint, near_pieces, plan
 
-SHINGLE, BANDS, ROWS, TILE = 5, 30, 5, 1024
-_RNG = np.random.default_rng(5)
-_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
-_XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, "u8")
+SHINGLE, TILE = 5, 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,29 +38,25 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE])) for i in range(n - SHINGLE + 1)), "u8", n - SHINGLE + 1))
 
 
-def band_keys(s: np.ndarray) -> list[int]:
-    if not len(s):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
-    for i in range(0, len(s), 2048):
-        low = np.minimum(low, ((s[i : i + 2048, None] ^ _XOR) * _MUL).min(axis=0))
-    raw = low.tobytes()
-    w = 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[b * w : b * w + w], b) for b in range(BANDS)], "u8").view("i8").tolist()
-
-
 def _node(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words)) if words else 0
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, bands): th is the hash of the text as it is."""
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, th, node, fp, small): th is the hash of the text as it is, fp the SimHash of its set (none without words), small whether the set takes more bands."""
 
     def fn(b: pa.RecordBatch) -> dict:
         w = [words_of(t) for t in b.column("text").to_pylist()]
-        return {"doc_id": b.column("doc_id"), "th": b.column("th"), "node": np.array([_node(x) for x in w], "u8").view("i8"), "bands": pa.array([band_keys(shingle_set(x)) for x in w], pa.list_(pa.int64()))}
+        sets = [shingle_set(x) for x in w]
+        return {
+            "doc_id": b.column("doc_id"),
+            "th": b.column("th"),
+            "node": np.array([_node(x) for x in w], "u8").view("i8"),
+            "fp": pa.array([fingerprint(s, words) if len(s) else None for s in sets], pa.binary()),
+            "small": pa.array([len(s) <= SMALL for s in sets], pa.bool_()),
+        }
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text"), fn, "doc_id long, th long, node long, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text"), fn, "doc_id long, th long, node long, fp binary, small boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,13 +97,16 @@ def group_links(node: list[int], comp: list[int], sets: list[np.ndarray]) -> lis
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, th, component_id) of the rows that have a doc_id; component_id is the least doc_id of the component."""
-    rows = checkpointed(sketches(docs.where("doc_id is not null")))  # some 260 bytes a document
-    nodes = rows.groupBy("node").agg(F.min("th").alias("t"), F.first("bands").alias("bands"))
-    banded = checkpointed(nodes.select("node", "t", F.explode("bands").alias("band")))
+    docs = docs.where("doc_id is not null")
+    p = plan(docs.count())
+    rows = checkpointed(sketches(docs, p.words))  # some 60 bytes a document and the fingerprint
+    nodes = rows.groupBy("node").agg(F.min("th").alias("t"), F.first("fp").alias("fp"), F.first("small").alias("small"))
+    banded = checkpointed(near_pieces(nodes.where("fp is not null"), p))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot")).where("n > 1")
     groups = groups.groupBy("n", "x").agg(F.min_by(F.struct("band", "pivot"), "band").alias("g")).select("n", "g.*")
-    members = checkpointed(banded.select("node", "t", *apart("band")).join(groups.select("n", "band", "pivot", *apart("band")), "__k0").select("band", "node", "t", "pivot", "n"))
-    sets = checkpointed(_sets(docs, members.select("t").distinct()))
+    members = checkpointed(banded.select("node", *apart("band")).join(groups.select("n", "band", "pivot", *apart("band")), "__k0").select("band", "node", "pivot", "n"))
+    wanted = rows.groupBy("node").agg(F.min("th").alias("t")).join(bounded(members.select("node").distinct()), "node", "left_semi")
+    sets = checkpointed(_sets(docs, wanted.select("t").distinct()))
 
     def verified(b: pa.RecordBatch) -> dict:
         one, other = ([np.frombuffer(x, "u8") for x in b.column(c).to_pylist()] for c in ("set", "set2"))

@@ -15,7 +15,7 @@ shingle; texts of any length count whole; repeated rows and equal texts share a
 component_id only from rows that have a doc_id; an empty table gives no rows; other columns are left out, whatever their names, or kept by the stage.
 
 The pipeline's stage needs links at a shingle similarity of 0.8, where fingerprints differ in about 10 bits, beyond any radius that blocks
-can search: it takes shingle_sets instead.
+can search: it takes SimHash fingerprints of some hundred bits, in bands (simhash_bands), and holds what is near to the sets themselves (shingle_sets).
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Of each component of near copies by five-word shingles (shingle_sets) what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay.
+    """Of each component of near copies by SimHash, verified on five-word shingles (shingle_sets), what has its smallest doc_id (one document; rows that repeat it stay with it); rows without doc_id stay.
 
     Rows that share a doc_id are told apart by a hash of the text.
     """
