@@ -182,6 +182,54 @@ def test_short_near_copies_are_linked(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def inner_join_rows(spark, seen=frozenset()):
+    """The rows that each inner join of this session's queries has made, by its metric."""
+    out, store = {}, spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        run = runs.next().executionId()
+        made, nodes = store.executionMetrics(run), store.planGraph(run).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                m = metrics.next()
+                if "Join" in node.name() and "Inner" in node.desc() and m.name() == "number of output rows" and (v := made.get(m.accumulatorId())).isDefined():
+                    out[run, m.accumulatorId()] = int(v.get().replace(",", ""))
+    return {k: v for k, v in out.items() if k not in seen}
+
+
+def test_joins_hold_a_near_copy_once_not_once_a_band(spark):
+    """One large group of near copies, few of which are similar enough: it lies in pieces of many bands."""
+    rng = random.Random(24)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(600):
+        w = list(base)
+        for p in rng.sample(range(150), rng.choice((2, 6, 8))):
+            w[p] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = groups(range(len(rows)), [(a, b) for a, b in combinations(range(len(rows)), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    assert 300 < len(set(want.values())) < 500
+    df, before = docs(spark, rows), inner_join_rows(spark)
+    assert {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(df).collect()} == want
+    assert 0 < sum(inner_join_rows(spark, before).values()) <= 8 * len(rows)
+
+
+def test_groups_are_merged_or_stay_in_pieces(spark, monkeypatch):
+    """Pieces that share texts become one group; a chain far above a tile stays in its distinct pieces, as its grid would make more rows."""
+    monkeypatch.setattr(shingle_sets, "TILE", 8)
+    clump = {100 + b: [1000 + k for k in range(20) if k != b] for b in range(5)}
+    chain = {200 + k: [2000 + k, 2001 + k] for k in range(60)} | {300: [2000, 2001]}
+    pair = {400: [3000, 3001], 401: [3000, 3001]}
+    banded = spark.createDataFrame([(b, min(x), n) for b, x in (clump | chain | pair).items() for n in x], "band long, root long, node long")
+    got = defaultdict(list)
+    for r in shingle_sets.candidate_groups(banded).collect():
+        got[r["band"], r["n"], r["pivot"]].append(r["node"])
+    assert all(n == len(x) and pivot in x for (_, n, pivot), x in got.items())
+    assert sorted(sorted(x) for x in got.values()) == sorted([list(range(1000, 1020)), *([2000 + k, 2001 + k] for k in range(60)), [3000, 3001]])
+
+
 @pytest.mark.parametrize("max_local", [10**6, 0])
 def test_components_of_chains_and_stars(spark, max_local):
     rng = random.Random(5)

@@ -2,9 +2,10 @@
 
 A node is a text's lower-case words, told apart by a 64-bit hash. Candidates are near by SimHash (simhash_bands): fingerprints of the sets that share a
 band and differ in few bits, so that a pair at 0.8 is missed with probability below 1e-5, and less above. Every candidate pair is held to the exact similarity of
-the whole sets, unless other links have joined its two texts already:
-first each text of a piece with the piece's pivot; then, in pieces of three or more that aren't one component by now, all pairs across
-components, in numpy, where a large piece is dealt out as a grid of tile pairs. Pieces of the same texts are looked at once.
+the whole sets, unless other links have joined its two texts already. Pieces of many bands that share texts are merged to one group, so that a text is held once,
+not once a band; a group of several tiles stays in its pieces, those of the same texts once, where fewer rows come of that. First each text of a group is held to the
+group's pivot; then, in groups of three or more that aren't one component by now, all pairs across
+components, in numpy, where a large group is dealt out as a grid of tile pairs; in groups of more than some dozens, those within the radius.
 Sets are made for candidates only; texts are not shuffled, unless candidates are too many to be broadcast.
 
 Defined cases: null and empty texts and those without words are one node; up to five words are one shingle; texts of any length count whole; rows without
@@ -16,14 +17,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, apart, bounded, checkpointed, give_back, map_arrow
 from .components import components
-from .simhash_bands import SMALL, fingerprint, near_pieces, plan
+from .simhash_bands import CHECK, RADIUS_SMALL, SMALL, fingerprint, near_pieces, plan
 
-SHINGLE, TILE = 5, 1024
+SHINGLE, FEW = 5, 64
+#: Texts of a tile; groups of more than FINE are dealt out as up to PARTS smaller tiles, so that more tasks share them.
+TILE, FINE, PARTS = 1024, 256, 12
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,15 +81,18 @@ def alike(one: np.ndarray, sets: list[np.ndarray], num: int = 4, den: int = 5) -
     return den * both >= num * (len(one) + n - both)
 
 
-def group_links(node: list[int], comp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all pieces of a group: every pair of two pieces is compared, by sizes that allow a link."""
+def group_links(node: list[int], comp: list[int], sets: list[np.ndarray], words: int = CHECK // 64) -> list[tuple[int, int]]:
+    """Links that join all components of a group: every pair across two is compared, by sizes that allow a link, and of more than FEW sets by fingerprints (of so many words) within the wider radius."""
     order = sorted(range(len(node)), key=lambda i: len(sets[i]))
     node, sets = [node[i] for i in order], [sets[i] for i in order]
     label = np.unique([comp[i] for i in order], return_inverse=True)[1]
     n, out = np.array([len(x) for x in sets]), []
+    fp = np.array([np.frombuffer(fingerprint(x, words), "u8")[: CHECK // 64] for x in sets]) if len(node) > FEW else None
     for i in range(len(node)):
         end = int(np.searchsorted(n, n[i] * 5 // 4, "right"))
         j = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
+        if fp is not None:
+            j = j[np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= RADIUS_SMALL]
         if len(j):
             for k in j[alike(sets[i], [sets[x] for x in j])].tolist():
                 if label[k] != label[i]:
@@ -95,6 +101,31 @@ def group_links(node: list[int], comp: list[int], sets: list[np.ndarray]) -> lis
     return out
 
 
+def _tiles(n: Column) -> Column:
+    """Tiles of a group of n texts, each of which goes to a cell with each other tile."""
+    return F.greatest(F.ceil(n / F.lit(TILE)), F.least(F.ceil(n / F.lit(FINE)), F.lit(PARTS))).cast("int")
+
+
+def candidate_groups(banded: DataFrame) -> DataFrame:
+    """banded(band, root, node) to (band, node, pivot, n): the pieces' components, or, of those dealt out by tiles, the distinct pieces where these make fewer rows by their grids."""
+    least = components(banded.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("b").alias("c"), *apart("a"))
+    spots = checkpointed(banded.select("node").distinct().select("node", *apart("node")).join(least, "__k0", "left").select("node", F.coalesce("c", "node").alias("c")))
+    dealt = F.col("n") * F.greatest(_tiles(F.col("n")) - 1, F.lit(1))
+    large = spots.groupBy("c").agg(F.count("*").alias("n")).where(_tiles(F.col("n")) > 2).select(dealt.alias("whole"), *apart("c"))
+    pieces = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("root").alias("root"))
+    pieces = pieces.select("band", "n", "x", "root", *apart("root")).join(least, "__k0", "left").select("band", "n", "x", F.coalesce("c", "root").alias("c"))
+    pieces = pieces.select("band", "n", "x", "c", *apart("c")).join(bounded(large), "__k0").groupBy("c", "whole", "n", "x").agg(F.min("band").alias("band"))
+    pieces = checkpointed(pieces)
+    cut = pieces.groupBy("c", "whole").agg(F.sum(dealt).alias("parts")).where("parts < whole").select(*apart("c"))
+    cut = bounded(cut)
+    whole = spots.select("node", "c", *apart("c")).join(cut, "__k0", "left_anti").select(F.col("c").alias("band"), "node")
+    parts = bounded(pieces.select("band", *apart("c")).join(cut, "__k0", "left_semi").select(*apart("band")))
+    parts = banded.select("band", "node", *apart("band")).join(parts, "__k0", "left_semi").select("band", "node")
+    groups = checkpointed(whole.unionAll(parts))
+    about = groups.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot"))
+    return groups.select("band", "node", *apart("band")).join(about.select("n", "pivot", *apart("band")), "__k0").select("band", "node", "pivot", "n")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, th, component_id) of the rows that have a doc_id; component_id is the least doc_id of the component."""
     docs = docs.where("doc_id is not null")
@@ -102,9 +133,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = checkpointed(sketches(docs, p.words))  # some 60 bytes a document and the fingerprint
     nodes = rows.groupBy("node").agg(F.min("th").alias("t"), F.first("fp").alias("fp"), F.first("small").alias("small"))
     banded = checkpointed(near_pieces(nodes.where("fp is not null"), p))
-    groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot")).where("n > 1")
-    groups = groups.groupBy("n", "x").agg(F.min_by(F.struct("band", "pivot"), "band").alias("g")).select("n", "g.*")
-    members = checkpointed(banded.select("node", *apart("band")).join(groups.select("n", "band", "pivot", *apart("band")), "__k0").select("band", "node", "pivot", "n"))
+    members = checkpointed(candidate_groups(banded))
     wanted = rows.groupBy("node").agg(F.min("th").alias("t")).join(bounded(members.select("node").distinct()), "node", "left_semi")
     sets = checkpointed(_sets(docs, wanted.select("t").distinct()))
 
@@ -123,13 +152,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     named = checkpointed(named)
     unsettled = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     cells = named.select("n", "node", "comp", "band", *apart("band")).join(unsettled.select(*apart("band")), "__k0").drop("__k0")
-    salts = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    salts = _tiles(F.col("n"))
     own = F.pmod(F.xxhash64("node"), salts).cast("int")
-    grid = F.transform(F.sequence(F.lit(0), salts - 1), lambda s: F.struct(F.least(own, s).alias("lo"), F.greatest(own, s).alias("hi")))
+    others = F.filter(F.sequence(F.lit(0), salts - 1), lambda s: (s != own) | (salts == 1))  # a cell of two tiles compares the pairs within each, too
+    grid = F.transform(others, lambda s: F.struct(F.least(own, s).alias("lo"), F.greatest(own, s).alias("hi")))
     cells = cells.select("band", "node", "comp", F.explode(grid).alias("s"), *apart("node")).join(sets.select("set", *apart("node")), "__k0").select("band", "s.lo", "s.hi", "node", "comp", "set")
 
     def across(t: pa.Table) -> pa.Table:
-        got = group_links(t["node"].to_pylist(), t["comp"].to_pylist(), [np.frombuffer(x, "u8") for x in t["set"].to_pylist()])
+        got = group_links(t["node"].to_pylist(), t["comp"].to_pylist(), [np.frombuffer(x, "u8") for x in t["set"].to_pylist()], p.words)
         give_back()
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([x for _, x in got], pa.int64())})
 

@@ -109,7 +109,7 @@ def pieces(f: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
 
 
 def near_pieces(nodes: DataFrame, p: Plan) -> DataFrame:
-    """nodes(node, fp, small), fingerprints that are distinct by node, to (band, node): the pieces of two or more of every group."""
+    """nodes(node, fp, small), fingerprints that are distinct by node, to (band, root, node): the pieces of two or more of every group, and a node of each as its root."""
 
     def keyed(b: pa.RecordBatch) -> dict:
         n = b.num_rows
@@ -148,4 +148,4 @@ def near_pieces(nodes: DataFrame, p: Plan) -> DataFrame:
             yield from found(held)
         give_back()
 
-    return rows.mapInArrow(run, "key long, root long, node long").select(F.xxhash64("key", "root").alias("band"), "node")
+    return rows.mapInArrow(run, "key long, root long, node long").select(F.xxhash64("key", "root").alias("band"), "root", "node")
