@@ -210,6 +210,34 @@ def test_rcm_is_the_same_in_one_piece_and_by_levels(spark):
     assert by_levels == {r["idx"]: r["perm"] for r in permute.rcm(a).collect()} and sorted(by_levels.values()) == list(range(60))
 
 
+@pytest.mark.parametrize("max_local", [6, 40])
+def test_rcm_is_the_same_by_pieces(spark, max_local):
+    """Pieces within tasks beside a large one by levels, rows without neighbours, and a path that has more levels than are tried before pieces are looked for."""
+    n = 90
+    ring = [(i, (i + 1) % 25) for i in range(25)]
+    linked = [*ring, *[(int(i), int(j)) for i, j in RNG.integers(25, 60, (22, 2))], *[(i, i + 1) for i in range(60, 84)]]
+    mixed = RNG.permutation(n)
+    a = SparseMatrix(spark.createDataFrame([(int(mixed[i]), int(mixed[j]), 1.0) for i, j in linked], "i long, j long, v double"), n, n)
+    want = {r["idx"]: r["perm"] for r in permute.rcm(a).collect()}
+    assert {r["idx"]: r["perm"] for r in permute.rcm(a, max_local=max_local).collect()} == want and sorted(want.values()) == list(range(n))
+
+
+def test_rcm_takes_no_jobs_a_piece(spark):
+    """Sixteen times as many pieces of one kind take hardly more jobs."""
+
+    def jobs(pieces):
+        a = SparseMatrix(spark.createDataFrame([(3 * k + i, 3 * k + i + 1, 1.0) for k in range(pieces) for i in range(2)], "i long, j long, v double"), 3 * pieces, 3 * pieces)
+        spark.sparkContext.setJobGroup(group := f"rcm of {pieces}", "")
+        try:
+            assert permute.rcm(a, max_local=2).count() == 3 * pieces
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = jobs(3)
+    assert few and jobs(48) <= 1.5 * few
+
+
 def test_graph_parts_cut_few_edges(spark):
     """Of a shuffled grid: even parts, with fewer entries between them than parts by shuffled rows have; also as an ordering."""
     n = 12

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +51,24 @@ def bandwidths(a: SparseMatrix) -> tuple[int, int]:
     return max(0, r["l"] or 0), max(0, r["u"] or 0)
 
 
-def _pattern(a: SparseMatrix) -> DataFrame:
-    """(a, b): the symmetrised pattern without its diagonal."""
+def _pattern(a: SparseMatrix, parts: int) -> DataFrame:
+    """(a, b): the symmetrised pattern without its diagonal, dealt out by a and in order there, so that joins and groups by a move no edge."""
     e = a.df.where("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition(parts, "a").distinct().sortWithinPartitions("a", "b")
 
 
-def _levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Places of the rows 0..n - 1 in Cuthill-McKee's order, from edges in both directions: level by level, by (first parent, degree, row)."""
+def _levels(src: np.ndarray, dst: np.ndarray, n: int, first_rows: np.ndarray | None = None) -> np.ndarray:
+    """Places of the rows 0..n - 1 in Cuthill-McKee's order, from edges in both directions: level by level, by (first parent, degree, row).
+
+    With the first row of each piece given, all pieces go on at once: places are then right within each piece only.
+    """
     order = np.argsort(src, kind="stable")
     dst, degree = dst[order], np.bincount(src, minlength=n)
     first = np.cumsum(degree) - degree
     pos, at = np.full(n, -1), 0
-    starts = iter(np.lexsort((np.arange(n), degree)).tolist())
+    starts = iter(np.lexsort((np.arange(n), degree)).tolist()) if first_rows is None else None
     while at < n:
-        front = np.array([next(i for i in starts if pos[i] < 0)])
+        front = first_rows if starts is None else np.array([next(i for i in starts if pos[i] < 0)])
         while len(front):
             pos[front] = np.arange(at, at + len(front))
             at += len(front)
@@ -78,41 +82,151 @@ def _levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return pos
 
 
+def _ranked(df: DataFrame, keys: list[str], name: str, max_local: int) -> tuple[DataFrame, int]:
+    """df with 0-based ranks by long columns, and its count; at most max_local rows are ranked in one piece."""
+    rows = cut(df)
+    n = rows.count()
+    if n > max_local:
+        return global_rank(rows, *keys, name=name), n
+    t = rows.toArrow()
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort([t[k].to_numpy() for k in reversed(keys)])] = np.arange(n)
+    return df.sparkSession.createDataFrame(t.append_column(name, pa.array(rank))), n
+
+
+def _roots(up: DataFrame, max_local: int) -> DataFrame:
+    """(a, p) with each row's least neighbour p, to (a, p) with the root that jumps over parents end at. As b is a neighbour of its parent's, no circle of parents
+    is longer than two; the lesser of two is a root."""
+    up = cut(up)
+    if up.count() <= max_local:
+        t = up.toArrow().sort_by("a")
+        a = t["a"].to_numpy()
+        p, at = np.searchsorted(a, t["p"].to_numpy()), np.arange(len(a))
+        p = np.where((p[p] == at) & (at < p), at, p)
+        while not np.array_equal(q := p[p], p):
+            p = q
+        return up.sparkSession.createDataFrame(pa.table({"a": a, "p": a[p]}))
+    two = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+    up, moved = up.join(two, "p").select("a", F.when((F.col("q") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a")).otherwise(F.col("p")).alias("p")), True
+    while moved:
+        up = cut(up)
+        up = cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("m")))
+        moved, up = not up.where("m").isEmpty(), up.select("a", "p")
+    return up
+
+
+def _pieces(edges: DataFrame, max_local: int) -> DataFrame:
+    """(i, root): each row of edges (a, b), in both directions, with one row that stands for its connected piece.
+
+    Every row is joined with its least neighbour and what that one is joined with, then these groups are as rows were: each round at least halves them, and only
+    the first one sees all edges.
+    """
+    links, of = edges, None
+    while of is None or not links.isEmpty():
+        up = _roots(links.groupBy("a").agg(F.min("b").alias("p")), max_local)
+        if of is None:
+            of = up.select(F.col("a").alias("i"), F.col("p").alias("root"))
+        else:
+            of = cut(of.join(up.select(F.col("a").alias("root"), "p"), "root", "left").select("i", F.coalesce("p", "root").alias("root")))
+        half = links.where("a < b").join(up.withColumnRenamed("p", "pa"), "a").join(up.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        half = half.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        links = cut(half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return of
+
+
+def _by_levels(edges: DataFrame, nodes: DataFrame, starts: DataFrame, total: int, max_local: int, max_levels: int | None = None) -> tuple[DataFrame, bool]:
+    """(i, pos): places of the rows that starts reach, total at most, and whether none is left after max_levels. Places are right within each connected piece.
+
+    A few jobs a level for all pieces at once. Edges are not moved where a level's rows can be broadcast; else only those of rows without a place are.
+    """
+    last, front = None, cut(starts.select("i", F.lit(0).cast("long").alias("pos")))
+    done, size = front, front.count()
+    n, levels = size, 0
+    while size and n < total:
+        if max_levels is not None and levels >= max_levels:
+            return done, False
+        levels += 1
+        to, of = front.select(F.col("i").alias("b"), "pos"), edges
+        if size <= min(max_local, 1_000_000):
+            to = F.broadcast(to)
+        else:
+            rest = nodes.join(done, "i", "left_anti").select(F.col("i").alias("a"))
+            of = edges.join(F.broadcast(rest) if total - n <= min(max_local, 1_000_000) else rest, "a", "left_semi")
+        seen = front.select("i") if last is None else front.select("i").unionAll(last.select("i"))
+        nxt = of.join(to, "b").groupBy(F.col("a").alias("i")).agg(F.min("pos").alias("p")).join(seen, "i", "left_anti").join(nodes.select("i", "d"), "i")
+        ranked, size = _ranked(nxt, ["p", "d", "i"], "rank", max_local)
+        last, front = front, ranked.select("i", (F.col("rank") + n).alias("pos"))
+        if size > max_local:
+            front = cut(front)
+        n, done = n + size, done.unionAll(front)
+        if levels % 16 == 0:
+            done = cut(done)
+    return done, True
+
+
+def _in_tasks(edges: DataFrame, nodes: DataFrame, pieces: DataFrame, max_local: int) -> DataFrame:
+    """(i, pos): places within pieces of at most max_local edges. A task takes pieces of less than twice as many edges together, and all of them at once."""
+    ranked, n = _ranked(pieces, ["sd", "si"], "k", max_local)
+    bins = prefix_sum(cut(ranked), "k", "e", "before", n).select("root", F.floor(F.col("before") / max(1, max_local)).cast("long").alias("bin"))
+    own = nodes.join(bins, "root").select(F.col("i").alias("a"), "bin", (F.col("si") == F.col("i")).alias("first"))
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = t["a"].to_numpy(), t["b"].to_numpy()
+        ids = np.unique(a)
+        src = np.searchsorted(ids, a)
+        first = np.unique(src[t["first"].to_numpy()])
+        return pa.table({"i": ids, "pos": _levels(src, np.searchsorted(ids, b), len(ids), first)})
+
+    return edges.join(own, "a").groupBy("bin").applyInArrow(run, "i long, pos long")
+
+
 def rcm(a: SparseMatrix, max_levels: int | None = None, max_local: int = 2_000_000) -> DataFrame:
     """Reverse Cuthill-McKee on the symmetrised pattern: levels from a row of least degree, each by (first parent, degree, row).
 
-    Patterns of at most max_local edges and rows (counted before) are ordered in one piece. Larger ones take a few jobs a level: rows without neighbours are one
-    step, and a level needs only the two before it. All rows are ordered; a bound on the levels raises when it is hit.
+    Patterns of at most max_local edges and rows (counted before) are ordered in one piece. Larger ones that are connected and have few levels take a few jobs a
+    level. Otherwise connected pieces are found first, as each is ordered by itself and they follow each other by their first rows' (degree, row): pieces of at
+    most max_local edges are ordered within tasks, many at once, and the others by levels, all of them together. All rows are ordered; a bound on the levels
+    raises when it is hit, and has all pieces go by levels.
     """
     if a.nrows != a.ncols:
         raise ValueError("this ordering needs a square matrix")
     spark = a.df.sparkSession
-    edges = cut(_pattern(a))
-    if max_levels is None and max(a.nrows, edges.count()) <= max_local:
-        e = edges.toArrow()
-        pos = _levels(e["a"].to_numpy(), e["b"].to_numpy(), a.nrows)
-        return spark.createDataFrame(pa.table({"idx": np.arange(a.nrows), "perm": a.nrows - 1 - pos}))
-    space = spark.range(a.nrows).select(F.col("id").alias("i"))
-    deg = edges.groupBy("a").agg(F.count("*").alias("d"))
-    nodes = cut(space.join(deg.withColumnRenamed("a", "i"), "i", "left").select("i", F.coalesce("d", F.lit(0)).alias("d")))
-    done = cut(global_rank(nodes.where("d = 0").select("i"), "i", name="pos"))
-    n, levels, front, last = done.count(), 0, None, None
-    while n < a.nrows:
-        if max_levels is not None and levels >= max_levels:
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    edges = _pattern(a, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if max_levels is None and max(a.nrows, edges.count()) <= max_local:
+            e = edges.toArrow()
+            pos = _levels(e["a"].to_numpy(), e["b"].to_numpy(), a.nrows)
+            return spark.createDataFrame(pa.table({"idx": np.arange(a.nrows), "perm": a.nrows - 1 - pos}))
+        zero = F.lit(0).cast("long")
+        nodes = cut(edges.groupBy(F.col("a").alias("i")).agg(F.count("*").alias("d")))
+        rows = spark.range(a.nrows).select(F.col("id").alias("i")).join(nodes, "i", "left_anti").select("i", zero.alias("pos"), zero.alias("sd"), F.col("i").alias("si"))
+        total = nodes.count()
+        placed, whole = _by_levels(edges, nodes, nodes.orderBy("d", "i").limit(1), total, max_local, 16 if max_levels is None else min(16, max_levels))
+        if not whole and max_levels is not None and max_levels <= 16:
             raise RuntimeError("too many levels")
-        levels += 1
-        if front is not None:
-            nxt = edges.join(front.select(F.col("i").alias("a"), "pos"), "a").groupBy(F.col("b").alias("i")).agg(F.min("pos").alias("p")).join(front, "i", "left_anti")
-            nxt = (nxt if last is None else nxt.join(last, "i", "left_anti")).join(nodes, "i")
-            last, front = front, cut(global_rank(nxt, "p", "d", "i").select("i", (F.col("rank") + n).alias("pos")))
-        if front is None or front.isEmpty():  # the next piece
-            left = nodes.join(done, "i", "left_anti")
-            last, front = None, cut(left.orderBy("d", "i").limit(1).select("i", F.lit(n).cast("long").alias("pos")))
-        n += front.count()
-        done = done.unionAll(front)
-        if levels % 16 == 0:
-            done = cut(done)
-    return done.select(F.col("i").alias("idx"), (F.lit(a.nrows - 1) - F.col("pos")).alias("perm"))
+        if whole and placed.count() == total:
+            rows = rows.unionAll(placed.select("i", "pos", F.lit(1).cast("long").alias("sd"), zero.alias("si")))
+        else:
+            nodes = nodes.join(_pieces(edges, max_local), "i")
+            pieces = nodes.groupBy("root").agg(F.min(F.struct("d", "i")).alias("s"), F.sum("d").alias("e"), F.count("*").alias("n"))
+            pieces = cut(pieces.select("root", F.col("s.d").alias("sd"), F.col("s.i").alias("si"), "e", "n"))
+            nodes = cut(nodes.join(pieces.select("root", "sd", "si", "e"), "root"))
+            small = F.col("e") <= (max_local if max_levels is None else 0)
+            large = pieces.where(~small).agg(F.sum("n")).first()[0] or 0
+            placed = []
+            if large < total:
+                placed.append(_in_tasks(edges, nodes.where(small), pieces.where(small), max_local))
+            if large:
+                got, whole = _by_levels(edges, nodes.where(~small), pieces.where(~small).select(F.col("si").alias("i")), large, max_local, max_levels)
+                if not whole:
+                    raise RuntimeError("too many levels")
+                placed.append(got)
+            for p in placed:
+                rows = rows.unionAll(p.join(nodes.select("i", "sd", "si"), "i").select("i", "pos", "sd", "si"))
+        return _ranked(rows, ["sd", "si", "pos"], "rank", max_local)[0].select(F.col("i").alias("idx"), (F.lit(a.nrows - 1) - F.col("rank")).alias("perm"))
+    finally:
+        edges.unpersist()
 
 
 def rcm_bipartite(a: SparseMatrix, **kw) -> tuple[DataFrame, DataFrame]:
